@@ -46,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Ftrl:
     """Weights by coordinate; z and n as in McMahan and others, "Ad Click Prediction" (2013)."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)  # the last is the bias
 
