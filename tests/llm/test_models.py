@@ -87,7 +87,7 @@ def test_language_of_odd_rows(spark):
     assert [got[i][0] for i in (1, 2, 3)] == ["und"] * 3 and got[4][0] == got[6][0] == got[8][0] == "a" and got[5][0] == "b"
     assert all(0 <= s <= 1 for _, s in got.values())
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
-    assert sorted(r.doc_id for r in langid.keep_identified(docs, trees).collect()) == [4, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, trees).collect()) == [4, 5, 6, 8]  # no tree codes row 7 in eight bits a byte
     assert langid.identify(docs.limit(0), trees).count() == 0
 
 
