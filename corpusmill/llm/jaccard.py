@@ -108,37 +108,40 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _describe(k: int, percent: int):
-    """doc_id, text -> doc_id, size, two sums that name the set, keys (only for the first of equal sets in a task)."""
+def _describe(k: int):
+    """doc_id, text -> doc_id, size, two sums that name the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            named = np.array([_name(own) for own in sets_of(b.column(1), k)], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.record_batch([b.column(0), *[pa.array(named[:, i]) for i in range(3)]], ["doc_id", "n", "a", "b"])
+
+    return run
+
+
+def _name(own: np.ndarray) -> tuple[int, int, int]:
+    return len(own), int(own.sum(dtype=np.uint64)), int(H.mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
+
+
+def _keys(k: int, percent: int):
+    """doc_id, text -> (key, doc_id), a row for each key; of equal sets in a task only the first has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(percent), set()
         for b in batches:
-            sizes, sums, others, keys, ends = [], [], [], [], [0]
+            keys = []
             for own in sets_of(b.column(1), k):
-                name = len(own), int(own.sum(dtype=np.uint64)), int(H.mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
-                mine = np.zeros(0, np.uint64)
-                if name not in met:
-                    if len(met) >= 1 << 20:
-                        met.clear()
-                    met.add(name)
-                    mine = bands.keys(own)
-                sizes.append(name[0])
-                sums.append(name[1])
-                others.append(name[2])
-                keys.append(mine)
-                ends.append(ends[-1] + len(mine))
+                name = _name(own)
+                if name in met:
+                    keys.append(np.zeros(0, np.uint64))
+                    continue
+                if len(met) >= 1 << 20:
+                    met.clear()
+                met.add(name)
+                keys.append(bands.keys(own))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [
-                    b.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.array(sums, np.uint64).view(np.int64)),
-                    pa.array(np.array(others, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ],
-                ["doc_id", "n", "a", "b", "keys"],
-            )
+            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys]) if keys else flat
+            yield pa.record_batch([pa.array(flat), pa.array(owner, pa.int64())], ["key", "doc_id"])
 
     return run
 
@@ -260,12 +263,13 @@ def near_duplicates(
     distinct k-word shingles. One row for each row of docs.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = durable(given.mapInArrow(_describe(k, percent), "doc_id long, n long, a long, b long, keys array<long>"))
+    described = durable(given.mapInArrow(_describe(k), "doc_id long, n long, a long, b long"))
     named = described.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
     own = durable(named.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select("doc_id", "n", "rep"))
 
-    rows = named.select(F.explode("keys").alias("key"), "doc_id")
+    # keys are several times the size of what names a set: they are made from the texts again rather than kept
+    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent), "key long, doc_id long")
     met = rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_meet, "u long, v long")
     clusters = connected_components(met).toDF("doc_id", "cluster")
     reps = own.select("doc_id", "n", "rep")
