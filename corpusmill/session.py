@@ -16,8 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most; a row may hold a whole text.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package (a cluster gets it by --py-files)."""
+    """Let Python workers on this host import the package (a cluster gets it by --py-files), in batches that suit texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
