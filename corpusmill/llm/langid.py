@@ -16,7 +16,6 @@ repeated rows agree; other columns are not read.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -205,13 +204,13 @@ def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", most_
     """The rows of docs whose language is determined; texts that no tree codes in most_bits for each byte go too."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
-        t, column = shared.value, pa.array(text, pa.string())
-        keep = has_letter(column)
-        if t.langs and len(column):
-            size = np.maximum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), 1)
-            keep &= t.code_lengths(column).min(axis=1) <= most_bits * size
-        return pd.Series(keep)
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
+        t = shared.value
+        keep = has_letter(text)
+        if t.langs and len(text):
+            size = np.maximum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), 1)
+            keep &= t.code_lengths(text).min(axis=1) <= most_bits * size
+        return pa.array(keep)
 
     return docs.filter(kept(F.col(text_col)))
