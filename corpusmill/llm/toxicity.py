@@ -90,20 +90,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, epochs: int = 5, seed: int = 11) -> Model:
-    """Model from about sample_rows rows of each label, whole texts; a row weighs as in the whole table through the bias.
-
-    The sample is seeded by id and goes through one task in hash order; sample_rows
-    bounds it, whatever the table's size.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, epochs: int = 5, seed: int = 11
+) -> Model:
+    """Model from whole texts of about sample_rows labelled documents with label 1 and twice as many with 0.
+
+    The sample is drawn from the ids of labels, seeded, so that only its texts are
+    gathered, and goes through one task in hash order; sample_rows bounds it, whatever
+    the tables' sizes. The bias brings the sample's odds back to those of the labels.
+    An id counts once: its largest label, its least text.
     """
-    given = labelled.filter(F.col(label_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)).alias("u")
-    )
+    given = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     if not sizes:
         return Model(np.zeros(0), np.zeros(0), 0.0)
     share = min(1.0, sample_rows / max(1, sizes.get(1, 0))), min(1.0, 2 * sample_rows / max(1, sizes.get(0, 0)))
-    some = given.filter(F.col("u") < F.when(F.col("label") == 1, share[0]).otherwise(share[1]) * 1_000_000)
+    u = F.pmod(F.xxhash64("id_", F.lit(seed)), F.lit(1_000_000))
+    drawn = given.withColumn("u", u).filter(F.col("u") < F.when(F.col("label") == 1, share[0]).otherwise(share[1]) * 1_000_000)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    some = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("id_")).groupBy("id_", "label", "u").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, labels = [], []
@@ -122,10 +127,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         used = np.append(used, SPACE)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(model.weights(used), pa.float64())], ["feature", "weight"])
 
-    table = some.repartition(1).sortWithinPartitions("u", "text").select("text", "label").mapInArrow(run, "feature long, weight double").toPandas()
+    table = some.repartition(1).sortWithinPartitions("u", "id_").select("text", "label").mapInArrow(run, "feature long, weight double").toPandas()
     bias = table["feature"] == SPACE
-    # the sample's odds are brought back to those of the table
-    shift = float(np.log(share[0] / share[1])) if 1 in sizes and 0 in sizes else 0.0
+    shift = float(np.log(share[1] / share[0])) if 1 in sizes and 0 in sizes else 0.0
     return Model(table["feature"][~bias].to_numpy(), table["weight"][~bias].to_numpy(), float(table["weight"][bias].sum()) + shift)
 
 

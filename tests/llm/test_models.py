@@ -61,14 +61,14 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 0), (3, "vile slur word", 1), (4, "vile slur word", 1), (5, "kind plain word", 0)] * 30, "doc_id long, text string, toxic int")
-    model = toxicity.train(docs)
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 0)] + [(i, "vile slur word", 1) for i in range(3, 90)] * 2 + [(i, "kind plain word", 0) for i in range(90, 200)], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs)
     scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    assert scores[3] == scores[4] > scores[5] and scores[1] == scores[2] and all(0 <= s <= 1 for s in scores.values())
-    empty = toxicity.train(docs.limit(0))
+    assert scores[3] == scores[4] > scores[95] and scores[1] == scores[2] and all(0 <= s <= 1 for s in scores.values())
+    empty = toxicity.train(docs, docs.limit(0))
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
-    assert len(toxicity.train(docs, sample_rows=10).index) <= len(model.index)
+    assert len(toxicity.train(docs, docs, sample_rows=10).index) <= len(model.index)
 
 
 def test_language_on_held_out_rows(spark):
