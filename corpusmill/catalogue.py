@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusmill.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def usage_by_type_and_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+from corpusmill.plans import activity, corpus  # noqa: F401  they register their queries
+from corpusmill.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"usage_by_type_and_day": usage_by_type_and_day}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"usage_by_type_and_day": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2"}
+    return dict(SQL)
