@@ -5,16 +5,17 @@ hashed bitmap signatures bound the overlap of two sets from above (each element
 that only one set has flips at most one bit), and only pairs that the bound lets
 pass are intersected, as sorted arrays.
 
-Which documents share a tile. Two sets of at most b elements that link differ in
-at most D = floor(2b (100-T)/(100+T)) elements. A band cuts the hash range in
-D + 1 + spare parts, so that at least spare + 1 parts hold the same elements in
-both sets. A key is the hash of a part's elements; a set with more than `spare`
-empty parts is keyed again under other cuts, and at last by its empty parts too.
-So every pair that links has a key in common, and a key stands for about six
-shingles at once: common lines and passages make no large groups. Documents
-joined by keys, directly or through others, form clusters; a cluster is one
-tile, or beyond TILE_SETS sets a grid of tiles over its size bands. No pair of
-documents is ever a row: tiles return the edges of their own spanning forest.
+Which documents share a tile. Two sets of n and m elements that link have at
+least percent of n, and of m, in common, so under one order of all elements each
+has a common element among its first n - ceil(percent n / 100) + 1: those are a
+document's keys. The order is by a sketch of how many documents hold an element,
+rarest first: a fixed number of counters, added up over all documents, so that
+lines and passages that many documents share are hardly ever keys. The sketch
+decides only which documents are compared, never whether they link. Documents of
+sizes that can link, joined by keys, directly or through others, form clusters; a
+cluster is one tile, or beyond TILE_SETS sets a grid of tiles over its size bands.
+No pair of documents is ever a row: tiles return the edges of their own spanning
+forest.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are linked with nothing; texts of fewer than k words have their
@@ -24,6 +25,7 @@ rows without doc_id keep a null component. Equal sets are one class throughout.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 TILE_SETS = 1024
 TILE_SHINGLES = 1 << 21
-RESEEDS = 3
+#: Counters of the sketch, of a byte each, and the pages in which tasks hand them on.
+SLOTS, PAGES = 1 << 23, 64
+SLOT_SHIFT = np.uint64(64 - 23)
 #: Ids of sets to look up are broadcast up to this number; beyond it the lookup is a shuffled join.
 BROADCAST_IDS = 500_000
 
@@ -55,57 +59,62 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield own[np.concatenate(([True], own[1:] != own[:-1]))] if n > 1 else own
 
 
-class Bands:
-    """Size bands and the parts of each."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        # below this size, sets that link are equal
-        self.least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
-        self.edges = [self.least]
-        while self.edges[-1] < 1 << 40:
-            self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 10_000 // percent**2))
-        self.array = np.array(self.edges)
-        self.parts: dict[int, tuple[int, int]] = {}
-
-    def of(self, n: int) -> list[int]:
-        """The bands in which a set of n elements meets those it may link with."""
-        if n < self.least:
-            return []
-        k = int(np.searchsorted(self.array, n, "right")) - 1
-        return [k, k + 1] if 100 * n >= self.percent * self.edges[k + 1] else [k]
-
-    def cut(self, k: int) -> tuple[int, int]:
-        """(parts, parts that may be empty) of a band."""
-        if k not in self.parts:
-            differ = 2 * (self.edges[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 1
-            for _ in range(4):
-                m = differ + 1 + spare
-                spare = 1 + int(np.ceil(1.5 * m * np.exp(-self.edges[k] / m)))
-            self.parts[k] = differ + 1 + spare, spare
-        return self.parts[k]
-
-    def keys(self, own: np.ndarray) -> np.ndarray:
-        """Keys of one set under all its bands."""
-        out = []
-        for k in self.of(len(own)):
-            m, spare = self.cut(k)
-            for seed in range(1 + RESEEDS):
-                if seed:
-                    moved = np.sort(H.mix(own + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64)))
-                else:
-                    moved = own
-                part = ((moved >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-                starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                tag = np.uint64((k * 8 + seed) * 0x8CB92BA72F3D8DD7 % 2**64)
-                out.append(H.mix(np.add.reduceat(H.mix(moved ^ np.uint64(0x5851F42D4C957F2D)), starts) + H.mix(part[starts] + tag)))
-                if m - len(starts) <= spare:
-                    break
-            else:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part)
-                out.append(H.mix(empty + tag + np.uint64(0x2545F4914F6CDD1D)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def least_size(percent: int) -> int:
+    """Sets with fewer elements link with equal ones only."""
+    return next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
+
+
+def keys(own: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest elements of a set, so many that sets that link have one of them in common."""
+    n = len(own)
+    if n < least_size(percent):
+        return np.zeros(0, np.uint64)
+    first = n + percent * n // -100 + 1
+    place = (sketch[own >> SLOT_SHIFT].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+    return own[np.argpartition(place, first - 1)[:first]]
+
+
+def _tally(k: int):
+    """text -> (page, counters): in how many of a task's documents an element of each slot occurs, up to 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.uint8)
+        for b in batches:
+            for own in sets_of(b.column(0), k):
+                slots = own >> SLOT_SHIFT
+                counts[slots] += counts[slots] < 255
+        pages = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PAGES)]
+        yield pa.record_batch([pa.array(range(PAGES), pa.int32()), pa.array(pages, pa.binary())], ["page", "counts"])
+
+    return run
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, counters) sorted by page -> one row for each page, eight steps for each power of two."""
+
+    def row(page: int, total: np.ndarray) -> pa.RecordBatch:
+        steps = np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pa.record_batch([pa.array([page], pa.int32()), pa.array([steps.tobytes()], pa.binary())], ["page", "counts"])
+
+    at, total = None, None
+    for b in batches:
+        for page, counts in zip(b.column(0).to_pylist(), b.column(1)):
+            if page != at:
+                if at is not None:
+                    yield row(at, total)
+                at, total = page, np.zeros(SLOTS // PAGES, np.int64)
+            total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
+    if at is not None:
+        yield row(at, total)
+
+
+def rarity(docs: DataFrame, k: int) -> np.ndarray:
+    """The sketch of all documents (column text): SLOTS bytes, whatever the number of documents."""
+    pages = docs.select("text").mapInArrow(_tally(k), "page int, counts binary").repartition("page").sortWithinPartitions("page")
+    out = np.zeros((PAGES, SLOTS // PAGES), np.uint8)
+    for r in pages.mapInArrow(_total, "page int, counts binary").collect():
+        out[r.page] = np.frombuffer(r.counts, np.uint8)
+    return out.ravel()
 
 
 def _describe(k: int):
@@ -123,43 +132,53 @@ def _name(own: np.ndarray) -> tuple[int, int, int]:
     return len(own), int(own.sum(dtype=np.uint64)), int(H.mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
 
 
-def _keys(k: int, percent: int):
-    """doc_id, text -> (key, doc_id), a row for each key; of equal sets in a task only the first has rows."""
+def _keys(k: int, percent: int, sketch):
+    """doc_id, text -> (key, n, doc_id), a row for each key; of equal sets in a task only the first has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, met = Bands(percent), set()
+        order, met = sketch.value, set()
         for b in batches:
-            keys = []
+            found, sizes = [np.zeros(0, np.uint64)], []
             for own in sets_of(b.column(1), k):
                 name = _name(own)
-                if name in met:
-                    keys.append(np.zeros(0, np.uint64))
-                    continue
                 if len(met) >= 1 << 20:
                     met.clear()
+                found.append(own[:0] if name in met else keys(own, order, percent))
+                sizes.append(len(own))
                 met.add(name)
-                keys.append(bands.keys(own))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys]) if keys else flat
-            yield pa.record_batch([pa.array(flat), pa.array(owner, pa.int64())], ["key", "doc_id"])
+            times = [len(x) for x in found[1:]]
+            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), times)
+            flat = np.concatenate(found).view(np.int64)
+            yield pa.record_batch([pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), times), pa.int32()), pa.array(owner, pa.int64())], ["key", "n", "doc_id"])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc_id) sorted by both -> edges from the first document of a key to its others."""
-    last_key, first = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-        fresh = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
-        group = np.cumsum(fresh)
-        firsts = np.concatenate(([first if first is not None else 0], doc[fresh]))
-        lead = firsts[group]
-        last_key, first = key[-1], lead[-1]
-        pairs = np.unique(np.stack([lead, doc])[:, lead != doc], axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+def _meet(percent: int):
+    """Rows (key, n, doc_id) sorted so -> edges from the first document of a key, or of sizes that can link, to the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_n, first = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n, doc = (c.to_numpy() for c in b.columns)
+            n = n.astype(np.int64)
+            before = np.concatenate(([last_n], n[:-1]))
+            fresh = np.concatenate(([key[0] != last_key], key[1:] != key[:-1])) | (percent * n > 100 * before)
+            firsts = np.concatenate(([first], doc[fresh]))
+            lead = firsts[np.cumsum(fresh)]
+            last_key, last_n, first = key[-1], n[-1], lead[-1]
+            pairs = np.unique(np.stack([lead, doc])[:, lead != doc], axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    return run
+
+
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """Words of a signature: a bit is flipped by each element that it stands for."""
+    flips = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
 def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -172,8 +191,7 @@ def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
         bits *= 2
     maps = np.zeros((count, bits // 64), np.uint64)
     for row, i in enumerate(order):
-        flips = np.bincount((sets[i] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-        maps[row] = np.packbits(flips.astype(np.uint8)).view(np.uint64)
+        maps[row] = bitmap(sets[i], bits)
     root = np.arange(count)
     found = []
     for i in range(count - 1):
@@ -269,8 +287,9 @@ def near_duplicates(
     own = durable(named.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select("doc_id", "n", "rep"))
 
     # keys are several times the size of what names a set: they are made from the texts again rather than kept
-    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent), "key long, doc_id long")
-    met = rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_meet, "u long, v long")
+    sketch = docs.sparkSession.sparkContext.broadcast(rarity(given, k))
+    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, sketch), "key long, n int, doc_id long")
+    met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet(percent), "u long, v long")
     clusters = connected_components(met).toDF("doc_id", "cluster")
     reps = own.select("doc_id", "n", "rep")
     members = durable(clusters.join(reps, "doc_id").select("cluster", F.col("rep").alias("doc_id"), "n").distinct())

@@ -61,14 +61,22 @@ def test_empty_and_null_ids(spark):
     assert jaccard.one_of_each(one).count() == 2
 
 
-def test_keys_meet_for_every_pair_that_links():
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_keys_meet_for_every_pair_that_links(percent):
     rnd = np.random.default_rng(5)
-    bands = jaccard.Bands(85)
+    sketch = rnd.integers(0, 5, jaccard.SLOTS).astype(np.uint8)
     for _ in range(4000):
-        n = int(rnd.integers(6, 60))
-        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        n = int(rnd.integers(1, 60))
+        a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
         drop, add = rnd.integers(0, max(1, n // 8) + 1, 2)
-        b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 63, int(add), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 64, int(add), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) != both:
-            assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+        if both and 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
+            assert np.intersect1d(jaccard.keys(a, sketch, percent), jaccard.keys(b, sketch, percent)).size
+
+
+def test_sketch_counts_documents_of_all_tasks(spark):
+    docs = spark.createDataFrame([(f"common words that all have here own{i}",) for i in range(40)] + [(None,), ("",)], "text string").repartition(4)
+    sketch = jaccard.rarity(docs, 5)
+    assert sorted(sketch[sketch > 0].tolist())[-1] == int(8 * np.log2(41))
+    assert (sketch == 8).sum() == 40 and len(sketch) == jaccard.SLOTS
