@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Stretches in each of the memo's two generations, for each Python worker.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 50_000
 MEMO_CHARS = 48
+#: Answers kept about pairs of pieces, for each Python worker.
+CACHED = 1 << 16
 
 
 class Vocabulary:
@@ -94,8 +96,8 @@ class Encoder:
         for piece in self.v.ids:
             self.auto.add_word(piece, len(piece))
         self.auto.make_automaton()
-        self.merged = lru_cache(1 << 18)(self._merged)
-        self.follows = lru_cache(1 << 18)(self._follows)
+        self.merged = lru_cache(CACHED)(self._merged)
+        self.follows = lru_cache(CACHED)(self._follows)
         self.memo = _Memo(self._as_text)
         self.odd: set[str] = set()
         self.plain_from = max([self.v.unknown, *self.v.control, *self.v.bytes_of]) + 1
