@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch at most; a row may hold a whole text.
 BATCH_ROWS = 1000
+#: Python workers live on from stage to stage: large arrays that they free go back to the system.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this host import the package (a cluster gets it by --py-files), in batches that suit texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    for name, value in ALLOCATOR.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
