@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch at most; a row may hold a whole text.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most; a row may hold a whole text, and one of more bytes goes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Python workers live on from stage to stage: large arrays that they free go back to the system.
 ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -25,6 +25,7 @@ ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "419
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this host import the package (a cluster gets it by --py-files), in batches that suit texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     for name, value in ALLOCATOR.items():
         env.setdefault(name, value)
