@@ -46,6 +46,8 @@ SLOTS, PAGES = 1 << 23, 64
 SLOT_SHIFT = np.uint64(64 - 23)
 #: Ids of sets to look up are broadcast up to this number; beyond it the lookup is a shuffled join.
 BROADCAST_IDS = 500_000
+#: Clusters beyond one tile, with their bands (some tens of numbers), are broadcast up to this number; beyond it they meet documents by a salted key.
+BROADCAST_CLUSTERS, SALTS = 10_000, 64
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -247,8 +249,16 @@ def _grid(members: DataFrame, percent: int, tile_sets: int) -> DataFrame:
         .withColumn("cells", F.greatest(F.ceil(F.col("c") / tile_sets), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int"))
     )
     whole = cells.groupBy("cluster").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("of"))
+    # only clusters beyond one tile need their bands, and those are few: no document is dealt by its cluster
+    large = durable(whole.filter((F.col("all_c") > tile_sets) | (F.col("all_s") > TILE_SHINGLES)).select(F.col("cluster").alias("large"), "of"))
     near = lambda b: F.coalesce(F.element_at("of", b), F.lit(0))
-    spot = members.withColumn("band", band).join(whole, "cluster")
+    banded = members.withColumn("band", band)
+    if large.count() <= BROADCAST_CLUSTERS:
+        spot = banded.join(F.broadcast(large), F.col("cluster") == F.col("large"), "left")
+    else:
+        salted = large.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        spot = banded.join(salted, (F.col("cluster") == F.col("large")) & (spread == F.col("salt_")), "left")
     own = near(F.col("band"))
     cell = F.pmod(F.xxhash64("doc_id"), F.greatest(own, F.lit(1)))
     name = lambda *x: F.concat_ws("/", F.col("cluster").cast("string"), *[y.cast("string") for y in x])
@@ -264,10 +274,9 @@ def _grid(members: DataFrame, percent: int, tile_sets: int) -> DataFrame:
     above = F.transform(upto(near(b + 1).cast("int")), lambda j: F.struct(name(b, F.col("cell"), b + 1, j).alias("tile"), F.lit(0).alias("side")))
     below = F.transform(upto(near(b - 1).cast("int")), lambda j: F.struct(name(b - 1, j, b, F.col("cell")).alias("tile"), F.lit(1).alias("side")))
     one = F.array(F.struct(name().alias("tile"), F.lit(-1).alias("side")))
-    small = (F.col("all_c") <= tile_sets) & (F.col("all_s") <= TILE_SHINGLES)
     return (
         spot.withColumn("cell", cell.cast("int"))
-        .select("doc_id", F.explode(F.when(small, one).otherwise(F.concat(same, above, below))).alias("t"))
+        .select("doc_id", F.explode(F.when(F.col("large").isNull(), one).otherwise(F.concat(same, above, below))).alias("t"))
         .select("doc_id", "t.tile", "t.side")
     )
 

@@ -44,8 +44,9 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,tile", [(4, 85, 1024), (4, 85, 4), (5, 80, 1024), (2, 80, 3)])
-def test_against_brute_force(spark, k, percent, tile):
+@pytest.mark.parametrize("k,percent,tile,told", [(4, 85, 1024, 10_000), (4, 85, 4, 10_000), (4, 85, 4, 0), (5, 80, 1024, 10_000), (2, 80, 3, 10_000)])
+def test_against_brute_force(spark, monkeypatch, k, percent, tile, told):
+    monkeypatch.setattr(jaccard, "BROADCAST_CLUSTERS", told)
     rows = corpus(k * tile, 220)
     rows += [(1, None), (2, ""), (4, " \n"), (5, "one"), (7, "ONE"), (8, rows[3][1]), (10, rows[3][1].upper()), (rows[5][0], rows[5][1]), (rows[6][0], rows[9][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
