@@ -12,6 +12,8 @@ IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 CARD = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
 PHONE = r"\+?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -]?[0-9]{2,4}"
 NATIONAL_ID = r"\b[1-9][0-9]{10}\b"
+#: Runs of letters, their marks and digits of any script.
+WORD = r"[\p{L}\p{M}\p{N}]+"
 MOJIBAKE = r"Ã.|Ä.|Å.|�"
 
 

@@ -121,6 +121,13 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(docs, table(spark, d, "benchmark"), 10, pattern="[a-z]{6,}").select("item_id", "doc_id", "score")
 
 
+@query(_BM25.replace("[a-z]{6,}", text.WORD))
+def bm25_all_words(spark: SparkSession, d: str) -> DataFrame:
+    """As bm25_top10, over every word and number of any script."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    return search.bm25(docs, table(spark, d, "benchmark"), 10).select("item_id", "doc_id", "score")
+
+
 @query("SELECT vec_id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0) ORDER BY score DESC, vec_id LIMIT 10")
 def cosine_top10(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import re
 
 import duckdb
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import catalogue
 from corpusmill.functions import dates, text
-from corpusmill.operators import joins, stats
+from corpusmill.operators import joins, search, stats
 from corpusmill.sources import tables
 from corpusmill.streaming import alerts
 
@@ -95,3 +97,19 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     rates = alerts.error_rates(alerts.events(spark, folder, given.schema).withColumn("ts", F.col("ts").cast("timestamp")))
     alerts.run_once(rates, str(tmp_path / "rates"), str(tmp_path / "c2"))
     assert all(r.errors > 0.05 * r.n for r in spark.read.parquet(str(tmp_path / "rates")).collect())
+
+
+def test_bm25_of_short_and_accented_words(spark):
+    docs = [(1, "où été 7 le 7"), (2, "Der Bär"), (3, "le le chat"), (4, None), (5, ""), (6, "slow, 日本 bär")]
+    asked = [(10, "Été, le 7!"), (11, "bär"), (12, "BAR b r t"), (13, "日本")]
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    sizes = {i: words(t) for i, t in docs if t is not None}
+    mean, want = sum(map(len, sizes.values())) / len(sizes), {}
+    for q, t in asked:
+        for i, w in sizes.items():
+            for x in set(words(t)) & set(w):
+                n = sum(x in v for v in sizes.values())
+                want[q, i] = want.get((q, i), 0) + math.log((len(sizes) - n + 0.5) / (n + 0.5) + 1) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
+    got = {(r.item_id, r.doc_id): r.score for r in search.bm25(frame(docs, "doc_id").filter("text is not null"), frame(asked, "item_id")).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and {i for i, _ in got} == {10, 11, 13}
