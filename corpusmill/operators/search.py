@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import WORD, tokens
 
+#: Vectors in a block of exact search, and queries that meet a block in one task, about.
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
+
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, pattern: str = WORD) -> DataFrame:
     """item_id, doc_id, score, rank: the k best of docs (doc_id, text) for each of queries (item_id, text).
@@ -33,3 +36,36 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, vec_id, score, rank: the k rows of vectors with the highest cosine (6 places, smaller ids first) for each row of queries, exactly.
+
+    Rows are packed into blocks of bounded size; a query takes the k best of each
+    block where it meets it, so only those are shuffled. A query never finds its own
+    id; vectors that are null, zero, hold null or non-finite components, or have
+    another length than the query's take no part.
+    """
+    rows, asked = (_units(x, id_col, vector_col) for x in (vectors, queries))
+    n, m = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // block_queries))
+    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    blocks = rows.groupBy(deal(n).alias("block")).agg(F.collect_list(F.struct("id", "u")).alias("rows")).withColumn("part", every(m))
+    sent = asked.select(F.col("id").alias("query_id"), F.col("u").alias("q"), deal(m).alias("part"), every(n).alias("block"))
+    others = F.filter("rows", lambda x: (x["id"] != F.col("query_id")) & (F.size(x["u"]) == F.size("q")))
+    scored = F.transform(others, lambda x: F.struct((-F.round(_dot(x["u"], F.col("q")), 6)).alias("far"), x["id"].alias("vec_id")))
+    near = blocks.join(sent.hint("merge"), ["block", "part"]).select("query_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("x"))
+    best = F.row_number().over(W.partitionBy("query_id").orderBy("x.far", "x.vec_id"))
+    return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "x.vec_id", (-F.col("x.far")).alias("score"), "rank")
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def _units(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, u: the vectors that have a direction, at length one."""
+    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = given.filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    sized = finite.withColumn("size", F.sqrt(_dot(F.col("v"), F.col("v")))).filter("size > 0")
+    return sized.select("id", F.transform("v", lambda x: x / F.col("size")).alias("u"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 import re
 
 import duckdb
@@ -113,3 +114,20 @@ def test_bm25_of_short_and_accented_words(spark):
     frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
     got = {(r.item_id, r.doc_id): r.score for r in search.bm25(frame(docs, "doc_id").filter("text is not null"), frame(asked, "item_id")).collect()}
     assert got == pytest.approx(want, abs=1e-6) and {i for i, _ in got} == {10, 11, 13}
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_exact_search_of_every_query(spark, block):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(1, 60)] + [(i, [1.0, 2.0, 0.0, 1.0]) for i in (100, 101, 102)]
+    odd = [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, None, 0.0, 0.0]), (204, [float("nan")] * 4), (205, [1.0] * 3), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    got = search.nearest(v, v.filter("vec_id % 20 = 0 or vec_id > 200"), 10, block_rows=block, block_queries=max(1, block // 4)).collect()
+    size = lambda x: math.sqrt(sum(a * a for a in x))
+    for q, x in rows:
+        if q % 20 == 0:
+            near = sorted((-round(sum(a * b for a, b in zip(x, y)) / size(x) / size(y), 6), i) for i, y in rows if i != q)[:10]
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == near
+    assert {r.query_id for r in got} == {20, 40, 100}
+    every = catalogue.queries()["cosine_all_queries"](spark, SF).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, every)) == [(i, 10) for i in range(0, 500, 100)]
