@@ -5,13 +5,15 @@ sum of its paragraphs' vectors, modulo 2^64 and 2^32 in the two parts of the
 vector. Sums do not depend on order, and paragraphs are put in or taken out by
 adding or subtracting their vectors. The first part (EXACT lanes of 64 bits,
 BLAKE2b of the paragraph) serves equality; the second (SKETCH signed lanes of 32
-bits, to which each WINDOW-byte window of the paragraph adds one sign) keeps inner
+bits, to which each WINDOW-byte window of the paragraph adds one sign, and a
+shorter paragraph that is not empty one sign of its whole bytes) keeps inner
 products, so the cosine of two sketches estimates how much text two documents
 share.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; texts
 with the same paragraphs in another order have equal fingerprints; equal
-fingerprints have likeness 1, and an empty text has likeness 0 with any other.
+fingerprints have likeness 1, those of unequal exact parts at most BELOW_ONE, and an
+empty text has likeness 0 with any other.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import hashing as H
 
 EXACT, SKETCH, WINDOW = 8, 128, 16
+#: Likeness of texts whose exact parts differ, at most.
+BELOW_ONE = 1 - 2.0**-20
 #: Slices of the id range in which neighbours are found.
 MOST_SLICES = 2500
 
@@ -65,12 +69,27 @@ def _sketches(raw: list[bytes]) -> np.ndarray:
     ends = np.cumsum([len(x) + 1 for x in raw])
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     within = np.flatnonzero(breaks[WINDOW : n + WINDOW] == breaks[:n])  # windows inside one paragraph
-    h, row = h[within], np.searchsorted(ends, within, "right")
+    short, signs = _short_lines(data, words, int(ends[-1]))
+    at, h = np.concatenate((within, short)), np.concatenate((h[within], signs))
+    row = np.searchsorted(ends, at, "right")
     lane = row * SKETCH + (h >> np.uint64(57)).astype(np.int64)
     sign = 1.0 - 2.0 * (h & np.uint64(1)).astype(np.float64)
     return np.bincount(lane, sign, minlength=len(raw) * SKETCH).astype(np.int64).astype(np.uint32).reshape(len(raw), SKETCH)
 
 
+def _short_lines(data: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the lines of 1 to WINDOW - 1 bytes among the first `size` bytes."""
+    stops = np.flatnonzero(data[:size] == 10)
+    starts = np.concatenate(([0], stops[:-1] + 1))
+    length = stops - starts
+    some = (length > 0) & (length < WINDOW)
+    starts, length = starts[some], length[some].astype(np.uint64)
+    kept = lambda n: np.where(n < 8, (np.uint64(1) << (np.uint64(8) * np.minimum(n, np.uint64(7)))) - np.uint64(1), ~np.uint64(0))
+    first = words[starts] & kept(length)
+    second = words[starts + 8] & kept(np.maximum(length, np.uint64(8)) - np.uint64(8))
+    return starts, H.mix(first * np.uint64(0x9E3779B97F4A7C15) + second + length * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def as_text(exact: np.ndarray, sketch: np.ndarray) -> list[str]:
     return [e.tobytes().hex() + s.tobytes().hex() for e, s in zip(exact, sketch)]
 
@@ -91,8 +110,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     x, y = (s.view(np.int32).astype(np.float64) for s in (np.ascontiguousarray(a[1]), np.ascontiguousarray(b[1])))
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0)
-    equal = (a[0] == b[0]).all(axis=1) & (x == y).all(axis=1)
-    return np.where(equal, 1.0, np.clip(cosine, 0, 1))
+    same = (a[0] == b[0]).all(axis=1)
+    return np.where(same & (x == y).all(axis=1), 1.0, np.clip(cosine, 0, np.where(same, 1.0, BELOW_ONE)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,6 +128,23 @@ def test_fingerprints_of_copies_and_edits(spark):
     assert sum(r.near_edited for r in rows) / len(rows) > sum(r.near_next for r in rows) / len(rows) + 0.2
 
 
+def test_fingerprints_of_short_lines(spark):
+    like = lambda a, b: float(fingerprint.likeness(*([v[i : i + 1] for v in fingerprint.vectors([a, b])] for i in (0, 1)))[0])
+    items = [f"item {i}" for i in range(400)]
+    text, half, other = "\n".join(items), "\n".join(items[:200] + [f"new {i}" for i in range(200)]), "\n".join(f"other {i}" for i in range(400))
+    assert 0.3 < like(text, half) < 0.7 and like(text, other) < 0.3 and like(text, "\n".join(items[::-1])) == 1.0
+    long = "a line that is longer than one window\n"
+    assert like(long * 50 + "yes", long * 50 + "no") < 1 and like("a", "a\n") < 1 and like("", "a") == 0
+    sketch = fingerprint.vectors([x for n in range(1, 16) for x in ("a" * n, "é" * (n // 2) + "b" * (n % 2))])[1]
+    assert (abs(sketch.view("int32")).sum(axis=1) == 1).all()
+    lines = ["x", "12345678", "123456789", "fifteen bytes..", "sixteen bytes...", "", long[:-1]]
+    each = sum(fingerprint.vectors([x])[1] for x in lines)
+    for texts in (["\n".join(lines)], ["y" * 20, "\n".join(lines), "z"]):
+        assert (fingerprint.vectors(texts)[1][len(texts) // 2] == each).all()
+    short = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and all(len(x.encode()) < 16 for x in r.text.split("\n"))]
+    assert short and all(any(row) for row, r in zip(fingerprint.vectors([r.text for r in short])[1], short) if r.text.strip("\n"))
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece
