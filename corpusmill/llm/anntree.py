@@ -5,7 +5,8 @@ vectors; every row of the table is then put in the leaf that its descent reaches
 A query goes down the tree with a priority queue of branches, nearest centre
 first, and takes leaves in the order in which they come off the queue. How many
 leaves it visits is calibrated: the number is widened until sample queries find
-TARGET of their true neighbours in the sample.
+TARGET of their true neighbours in the sample; beyond that number a query goes on
+until its leaves hold k rows besides its own id.
 
 Queries and rows meet by leaf. Leaves are cut in parts of about PART_ROWS rows, so
 that a leaf with very many rows (copies of one vector, say) is spread over tasks;
@@ -94,11 +95,12 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order in which best-bin-first search comes to them."""
+    def visit(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order in which best-bin-first search comes to them: `visits`, and more until they hold `least` rows by `sizes`."""
         found: list[int] = []
+        held = 0
         queue = [(0.0, 0)]
-        while queue and len(found) < most:
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 far = 1 - self.centres[node] @ q
@@ -107,6 +109,7 @@ class Tree:
                     heapq.heappush(queue, (far[k], int(self.children[node][k])))
                 node = int(self.children[node][order[0]])
             found.append(self.leaf[node])
+            held += 0 if sizes is None else int(sizes[found[-1]])
         return found
 
 
@@ -174,11 +177,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                leaves = [shared.value.visit(q, visits) for q in _unit(_matrix(b.column(1)))]
+                own = b.column(2).to_numpy()
+                leaves = [shared.value.visit(q, visits, sizes, k + int(n)) for q, n in zip(_unit(_matrix(b.column(1))), own)]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "q", "leaves"])
 
     placed = durable(rows.mapInArrow(place, "vec_id long, v array<double>, leaf long"))
     # leaves are bounded by the fitting sample, so their sizes may go to every task
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():
+        sizes[r["leaf"]] = r["count"]
+    # rows of a query's own id, which it never finds
+    own = placed.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(0)).alias("own"))
     parts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     cut = placed.join(F.broadcast(parts), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     routed = asked.mapInArrow(route, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf"))

@@ -51,6 +51,16 @@ def test_odd_vectors_and_copies(spark, copies):
     assert anntree.search(few, few).count() == 6
 
 
+def test_search_goes_on_past_small_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(8)[i % 8] + rng.normal(scale=0.01, size=8)).tolist()) for i in range(800)]
+    rows += [(2000 + i, [-1.0, -1.0] + [0.01 * i] * 6) for i in range(2)] + [(2000, rows[0][1])] * 120
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(anntree, "calibrate", lambda *a, **b: 1)
+    got = anntree.search(v, v.filter("vec_id in (1, 2001)").unionByName(v.filter("vec_id = 2000").limit(1)), k=300).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {1: 300, 2000: 300, 2001: 300}
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = {r.doc_id: r for r in queries.op7_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").collect()}
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r.doc_id in got}
