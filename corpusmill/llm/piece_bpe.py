@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +222,11 @@ class Encoder:
         return "".join([f" {i}" for i in ids])
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, hash of the ids, hash of the decoded text) of a whole text.
+        """(number of ids, hash of the ids, hash of the decoded text) of a whole text."""
+        return self.encoded(text)[1:]
+
+    def encoded(self, text: str | None) -> tuple[str, int, str, str]:
+        """(ids as text, number of ids, hash of the ids, hash of the decoded text) of a whole text.
 
         Each stretch was decoded when it was first encoded; where all gave their own
         text back, so does the whole.
@@ -233,7 +238,7 @@ class Encoder:
             decoded = self.decode([int(i) for i in ids.split()])
         else:
             decoded = normal[self.v.dummy_prefix and normal.startswith(BLANK) :].replace(BLANK, " ")
-        return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return ids[1:], ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def _from_bytes(raw: bytearray) -> str:
@@ -290,3 +295,21 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
+
+
+def encode_with_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int, end id last), n_tokens, ids_sha256, decoded_sha256, one row for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(model_file)
+        for b in batches:
+            rows = [enc.encoded(t) for t in b.column(1).to_pylist()]
+            ids = pa.array([np.array(r[0].split(" "), np.int32) for r in rows], pa.list_(pa.int32()))
+            yield pa.record_batch(
+                [b.column(0), ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())],
+                ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

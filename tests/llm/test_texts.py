@@ -169,3 +169,16 @@ def test_encoding_is_the_librarys(spark, library):
     whole = piece_bpe.encode(docs, queries.model_file()).collect()
     assert sorted((r.doc_id, len(r.ids), r.decoded) for r in whole) == sorted((r.doc_id, len(i := library.encode(r.text or "", add_eos=True)), library.decode(i)) for r in given)
     assert piece_bpe.encode(docs.limit(0), queries.model_file()).count() == 0
+
+
+def test_pipeline_encodes_ids(spark, library):
+    import corpus_pipeline
+
+    texts = ODD + fuzz(200)
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, rows_of(spark, texts), SF).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ids, r = library.encode(t or "", add_eos=True), got[i * 7 - 20]
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
