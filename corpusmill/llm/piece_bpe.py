@@ -7,21 +7,27 @@ a bitfield remembers places from which no encoding exists. What the library
 adds - the dummy blank, blanks as U+2581, bytes for unknown characters - is done
 around it.
 
+Re-merging a joined text needs only what happens beside its seam: the merges of
+either piece alone are known once and for all, so the symbols left and right of the
+seam are replayed in merge order, and the pieces stand unless a merge over the seam
+comes first. Pieces that are no result of their own merges, or whose merges are not
+made in order, are merged anew from characters instead.
+
 No piece has U+2581 after another character, nor (in models that keep scripts
 apart) a letter before anything but a letter, so no merge crosses such a place: a
-text is cut there, which is exact, and a bounded memo keeps the stretches met.
+text is cut there, which is exact, and memos bounded in bytes keep the words and
+the stretches met.
 
 Defined results: null is the empty text; the empty text has the end id only; a
 text of any length is taken whole; a row's result depends on its text alone, so
-repeated rows agree; other columns are not read.
+repeated rows agree; other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -30,29 +36,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Stretches in each of the memo's two generations, for each Python worker.
-MEMO_ENTRIES = 50_000
+#: Bytes, about, of each of a memo's two generations in a Python worker; longer texts than MEMO_CHARS are not kept.
+MEMO_BYTES = 16 << 20
 MEMO_CHARS = 48
 #: Answers kept about pairs of pieces, for each Python worker.
-CACHED = 1 << 16
+CACHED = 1 << 18
+#: Stands in place of ids' first blank where decoding does not give the stretch back.
+ODD = "?"
 
 
 class Vocabulary:
-    """Pieces, ids and merge order of a model file."""
+    """Pieces, ids and merge order of a model (the bytes of its file)."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, raw: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
-        with open(model_file, "rb") as f:
-            model.ParseFromString(f.read())
+        model.ParseFromString(raw)
         kinds = pb.ModelProto.SentencePiece
         if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap:
             raise ValueError("a merge-type model with the identity normaliser is expected")
         self.pieces = [p.piece for p in model.pieces]
         self.kind = [p.type for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.UNUSED, kinds.USER_DEFINED)}
-        self.score = {p.piece: p.score for p in model.pieces if p.piece in self.ids}
+        scores = sorted({p.score for p in model.pieces if p.piece in self.ids}, reverse=True)
+        order = {s: n for n, s in enumerate(scores)}
+        #: Place of a piece in merge order.
+        self.rank = {p.piece: order[p.score] for p in model.pieces if p.piece in self.ids}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
@@ -68,109 +78,156 @@ class Vocabulary:
         one_of = lambda chars: f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
         #: Stretches that no merge leaves; characters that no merge touches stand alone.
         self.cut = re.compile(f"{BLANK}*(?:{one_of(joined - letters)}+{one_of(letters)}*|{one_of(letters)}+)|{BLANK}+|.", re.DOTALL)
+        #: Does a line end stand alone?
+        self.lines = "\n" not in joined
+        #: Numbered texts that a stretch can be cut into: the pieces, and characters of pieces that are none themselves.
+        self.texts = [*self.ids, *sorted(c for c in joined | {BLANK} if c not in self.ids)]
 
 
 class _Memo(dict):
-    """Ids of stretches as text, a blank before each; two generations bound it."""
+    """Ids of texts as text, a blank before each; two generations bound it."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[str], str]):
+        self.make, self.old, self.held = make, {}, 0
 
-    def __missing__(self, stretch: str) -> str:
-        found = self.old.get(stretch)
+    def __missing__(self, key: str) -> str:
+        found = self.old.get(key)
         if found is None:
-            found = self.make(stretch)
-        if len(stretch) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
+            found = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if self.held >= MEMO_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
-            self[stretch] = found
+            self.held += 240 + len(key) + len(found)
+            self[key] = found
         return found
 
 
 class Encoder:
     """Backtracking encoder over one vocabulary."""
 
-    def __init__(self, model_file: str):
-        self.v = Vocabulary(model_file)
+    def __init__(self, raw: bytes):
+        self.v = Vocabulary(raw)
+        texts = self.v.texts
+        self.number = {t: k for k, t in enumerate(texts)}
         self.auto = ahocorasick.Automaton()
-        for piece in self.v.ids:
-            self.auto.add_word(piece, len(piece))
+        for k, t in enumerate(texts):
+            self.auto.add_word(t, k)
         self.auto.make_automaton()
-        self.merged = lru_cache(CACHED)(self._merged)
-        self.follows = lru_cache(CACHED)(self._follows)
-        self.memo = _Memo(self._as_text)
-        self.odd: set[str] = set()
-        self.plain_from = max([self.v.unknown, *self.v.control, *self.v.bytes_of]) + 1
+        self.size = [len(t) for t in texts]
+        self.before_end = [n - 1 for n in self.size]
+        self.shorter = [next((self.number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.number), -1) for t in texts]
+        self.sides: dict[str, tuple[list, list] | None] = {}
+        #: Answers about pairs of numbered texts, by left * count + right; the number after the last stands for the start.
+        self.pairs: dict[int, bool] = {}
+        self.memo, self.words = _Memo(self._as_text), _Memo(self._word)
+        self.plain = [f" {self.v.ids[t]}" if t in self.v.ids else "" for t in texts]
+        self.bare_end = f" {self.v.end}"
 
     def _merged(self, text: str) -> tuple[str, ...]:
         """Merge a short text from single characters, best score first, leftmost on ties."""
-        parts = list(text)
-        score = self.v.score
-        while len(parts) > 1:
+        return self._steps(list(text), 1)
+
+    def _steps(self, parts: list[str], least: int) -> tuple[str, ...]:
+        rank = self.v.rank
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
+                r = rank.get(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(parts)
 
+    def _sides(self, piece: str) -> tuple[list, list] | None:
+        """(symbols at its start, symbols at its end) as merges make them, each with its rank; None unless its own merges give the piece, in order."""
+        if piece in self.sides:
+            return self.sides[piece]
+        found = None
+        if len(piece) == 1:
+            found = [(piece, -1)], [(piece, -1)]
+        elif (mine := self.v.rank.get(piece)) is not None:
+            halves = self._steps(list(piece), 2)
+            if len(halves) == 2 and halves[0] + halves[1] == piece:
+                left, right = self._sides(halves[0]), self._sides(halves[1])
+                if left and right and left[0][-1][1] < mine and right[1][-1][1] < mine:
+                    found = [*left[0], (piece, mine)], [*right[1], (piece, mine)]
+        self.sides[piece] = found if len(piece) == 1 or piece in self.v.rank else None
+        return found
+
     def _follows(self, left: str | None, right: str) -> bool:
         """May right come straight after left (None: first)? Only if re-merging their text gives both back."""
         if left is None:
-            return len(right) == 1 or self.merged(right) == (right,)
-        return self.merged(left + right) == (left, right)
+            return len(right) == 1 or self._sides(right) is not None or self._merged(right) == (right,)
+        a, b = self._sides(left), self._sides(right)
+        if a is None or b is None:
+            return self._merged(left + right) == (left, right)
+        rank, end = self.v.rank, 1 << 60
+        a, b = a[1], b[0]
+        i, j, last_i, last_j = 0, 0, len(a) - 1, len(b) - 1
+        while True:
+            over = rank.get(a[i][0] + b[j][0], end)
+            next_a = a[i + 1][1] if i < last_i else end
+            next_b = b[j + 1][1] if j < last_j else end
+            if over < next_a and over <= next_b and over < end:
+                return False
+            if next_a <= next_b:
+                if next_a == end:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _pair(self, place: int) -> bool:
+        left, right = divmod(place, len(self.v.texts) + 1)
+        if len(self.pairs) >= CACHED:
+            self.pairs.clear()
+        self.pairs[place] = found = self._follows(self.v.texts[left] if left < len(self.v.texts) else None, self.v.texts[right])
+        return found
 
     def _longest(self, text: str) -> list[int]:
-        """Length of the longest piece that begins at each place; a character without a piece counts as one."""
-        longest = [1] * len(text)
-        for end, size in self.auto.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+        """Number of the longest text known that begins at each place."""
+        longest = [-1] * len(text)
+        before_end = self.before_end
+        for end, k in self.auto.iter(text):  # by end, so a later one is longer
+            longest[end - before_end[k]] = k
         return longest
 
-    def _shorter(self, piece: str) -> str | None:
-        """The next shorter prefix that is a piece itself."""
-        for n in range(len(piece) - 1, 0, -1):
-            if n == 1 or piece[:n] in self.v.ids:
-                return piece[:n]
-        return None
-
-    def split(self, text: str) -> list[str]:
-        """Pieces of a stretch."""
-        if len(text) < 2 or text in self.v.ids and self.merged(text) == (text,):
-            return [text]
+    def _split(self, text: str) -> list[int]:
+        """Numbers of the texts that a stretch of known characters is cut into."""
         longest = self._longest(text)
-        failed = bytearray(len(text) // 8 + 1)
-        dead_ends = 0
-        done: list[str] = []
-        last: str | None = None
-        at, n, follows = 0, len(text), self.follows
+        size, shorter, pairs, count = self.size, self.shorter, self.pairs, len(self.v.texts) + 1
+        failed, dead_ends = None, False
+        done: list[int] = []
+        at, n, base = 0, len(text), (count - 1) * count
         while at < n:
-            piece: str | None = text[at : at + longest[at]]
+            k = longest[at]
             while True:
-                while piece is not None:
-                    end = at + len(piece)
-                    if follows(last, piece) and not (dead_ends and failed[end >> 3] >> (end & 7) & 1):
+                while k >= 0:
+                    fits = pairs.get(base + k)
+                    if (self._pair(base + k) if fits is None else fits) and not (dead_ends and failed[(at + size[k]) >> 3] >> ((at + size[k]) & 7) & 1):
                         break
-                    piece = self._shorter(piece)
-                if piece is not None:
+                    k = shorter[k]
+                if k >= 0:
                     break
+                if failed is None:
+                    failed, dead_ends = bytearray(n // 8 + 1), True
                 failed[at >> 3] |= 1 << (at & 7)
-                dead_ends += 1
                 taken = done.pop()  # single characters always fit, so the first place never fails
-                at -= len(taken)
-                last = done[-1] if done else None
-                piece = self._shorter(taken)
-            done.append(piece)
-            last = piece
-            at += len(piece)
+                at -= size[taken]
+                base = (done[-1] if done else count - 1) * count
+                k = shorter[taken]
+            done.append(k)
+            base = k * count
+            at += size[k]
         return done
 
+    def split(self, text: str) -> list[str]:
+        """Pieces of a stretch."""
+        return [text] if len(text) < 2 else [self.v.texts[k] for k in self._split(text)]
+
     def ids_of(self, stretch: str) -> list[int]:
         ids = []
         for piece in self.split(stretch):
@@ -190,12 +247,10 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, the end id last."""
-        return [i for s in self.v.cut.findall(self.normalised(text)) for i in self.ids_of(s)] + [self.v.end]
+        return [int(i) for i in self._ids_text(text or "").replace(ODD, " ").split()]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; only at the start of a text is one blank taken off."""
-        if not first and all(i >= self.plain_from for i in ids):
-            return "".join([self.v.pieces[i] for i in ids]).replace(BLANK, " ")
         out: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -216,10 +271,40 @@ class Encoder:
         return "".join(out).replace(BLANK, " ")
 
     def _as_text(self, stretch: str) -> str:
+        """Ids of a stretch; its decoded text is compared unless it consists of pieces that the vocabulary has as they are."""
+        known = [self.number.get(stretch, -1)] if len(stretch) < 2 else self._split(stretch)
+        plain = [self.plain[k] for k in known] if known[0] >= 0 else [""]
+        if all(plain):
+            return "".join(plain)
         ids = self.ids_of(stretch)
-        if self.decode(ids, first=False) != stretch.replace(BLANK, " "):
-            self.odd.add(stretch)
-        return "".join([f" {i}" for i in ids])
+        same = self.decode(ids, first=False) == stretch.replace(BLANK, " ")
+        return (" " if same else ODD) + " ".join(map(str, ids))
+
+    def _word(self, word: str) -> str:
+        """Ids of a blank and what follows it."""
+        return "".join(map(self.memo.__getitem__, self.v.cut.findall(BLANK + word)))
+
+    def _ids_text(self, text: str) -> str:
+        """Ids of a whole text, a blank (or ODD) before each, the end id last."""
+        if not text:
+            return self.bare_end
+        out, memo, words = [], self.memo.__getitem__, self.words.__getitem__
+        first = self.v.dummy_prefix
+        for line in text.split("\n") if self.v.lines else [text]:
+            if out or not first and line is not text:
+                out.append(memo("\n"))
+            if "  " in line or BLANK in line or first and line.startswith(" "):
+                # runs of blanks belong together
+                out.append("".join(map(memo, self.v.cut.findall((BLANK if first else "") + line.replace(" ", BLANK)))))
+            else:
+                parts = line.split(" ")
+                if not first:
+                    out.append("".join(map(memo, self.v.cut.findall(parts[0]))))
+                    del parts[0]
+                out.append("".join(map(words, parts)))
+            first = False
+        out.append(self.bare_end)
+        return "".join(out)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, hash of the ids, hash of the decoded text) of a whole text."""
@@ -231,13 +316,15 @@ class Encoder:
         Each stretch was decoded when it was first encoded; where all gave their own
         text back, so does the whole.
         """
-        normal = self.normalised(text or "")
-        stretches = self.v.cut.findall(normal)
-        ids = "".join(map(self.memo.__getitem__, stretches)) + f" {self.v.end}"
-        if self.odd and not self.odd.isdisjoint(stretches):
+        text = text or ""
+        ids = self._ids_text(text)
+        if ODD in ids:
+            ids = ids.replace(ODD, " ")
             decoded = self.decode([int(i) for i in ids.split()])
         else:
-            decoded = normal[self.v.dummy_prefix and normal.startswith(BLANK) :].replace(BLANK, " ")
+            decoded = text.replace(BLANK, " ")
+            if text and not self.v.dummy_prefix and decoded.startswith(" "):
+                decoded = self.decode([int(i) for i in ids.split()])
         return ids[1:], ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
@@ -261,18 +348,27 @@ def _from_bytes(raw: bytearray) -> str:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(model_file: str) -> Encoder:
+def encoder(raw: bytes) -> Encoder:
     """One encoder for each model in a worker."""
-    if model_file not in _encoders:
-        _encoders[model_file] = Encoder(model_file)
-    return _encoders[model_file]
+    name = hashlib.sha256(raw).hexdigest()
+    if name not in _encoders:
+        _encoders[name] = Encoder(raw)
+    return _encoders[name]
+
+
+def _shared(docs: DataFrame, model_file: str):
+    """The model's bytes, read where the query is planned and sent to all tasks."""
+    with open(model_file, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int, end id last), decoded (text of those ids), one row for each row of docs."""
 
+    model = _shared(docs, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_file)
+        enc = encoder(model.value)
         for b in batches:
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -283,8 +379,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() gives, as digests."""
 
+    model = _shared(docs, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_file)
+        enc = encoder(model.value)
         for b in batches:
             rows = [enc.digest(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch(
@@ -300,8 +398,10 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
 def encode_with_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int, end id last), n_tokens, ids_sha256, decoded_sha256, one row for each row of docs."""
 
+    model = _shared(docs, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_file)
+        enc = encoder(model.value)
         for b in batches:
             rows = [enc.encoded(t) for t in b.column(1).to_pylist()]
             ids = pa.array([np.array(r[0].split(" "), np.int32) for r in rows], pa.list_(pa.int32()))
