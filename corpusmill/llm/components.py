@@ -3,6 +3,9 @@
 Alternating large-star and small-star steps (as in "Connected Components
 in MapReduce and Beyond", 2014): each step hangs neighbours on the smallest
 one met, and the number of rows never exceeds that of the edges plus vertices.
+
+Defined results: edges with a null end and self-edges are left out; repeated edges
+count once; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,6 +16,19 @@ from pyspark.sql import functions as F
 from corpusmill.session import durable
 
 MAX_ROUNDS = 60
+#: Parts over which the rows of one key are spread.
+SALTS = 64
+
+
+def told(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has at most a row for each value of keys.
+
+    Facts meet each (keys, salt of spread) once and rows meet those, so however many
+    rows have one key no task needs more than a SALTS-th of them.
+    """
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    met = salted.select(*keys, "salt_").distinct().join(facts, keys, how)
+    return salted.join(met, [*keys, "salt_"]).drop("salt_")
 
 
 def _hang(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,14 +37,14 @@ def _hang(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
     else:
         around = edges.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-    least = around.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("at"), F.least("x", "m").alias("m"))
-    met = around.join(least, F.col("x") == F.col("at"))
-    out = met.filter("y > x").select("y", "m") if large else met.select("y", "m").union(least.select(F.col("at"), "m"))
+    least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    met = told(around, least, ["x"], "y")
+    out = met.filter("y > x").select("y", "m") if large else met.select("y", "m").union(least.select("x", "m"))
     return out.toDF("u", "v").filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (u, v: long); self-edges are left out."""
+    """node, component (its smallest node) for every node of edges (u, v: long)."""
     pairs = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(MAX_ROUNDS):

@@ -5,49 +5,64 @@ hashed bitmap signatures bound the overlap of two sets from above (each element
 that only one set has flips at most one bit), and only pairs that the bound lets
 pass are intersected, as sorted arrays.
 
-Which documents share a tile. Two sets of n and m elements that link have at
-least percent of n, and of m, in common, so under one order of all elements each
-has a common element among its first n - ceil(percent n / 100) + 1: those are a
-document's keys. The order is by a sketch of how many documents hold an element,
-rarest first: a fixed number of counters, added up over all documents, so that
-lines and passages that many documents share are hardly ever keys. The sketch
-decides only which documents are compared, never whether they link. Documents of
-sizes that can link, joined by keys, directly or through others, form clusters; a
-cluster is one tile, or beyond TILE_SETS sets a grid of tiles over its size bands.
-No pair of documents is ever a row: tiles return the edges of their own spanning
-forest.
+Which documents share a tile. Two sets that link differ in at most d elements, d
+given by the largest size of their band. The hash range is cut into more than d
+parts, so at least one part holds the same elements in both. A document's keys are
+the elements of each part that are not frequent (by a sketch of how many documents
+hold an element: a fixed number of counters, added up over all documents), where
+there are any: in its own band and, where it may link with sets of the next one, in
+that. Parts without such elements are thin. A passage that many documents share is
+in no key, and where the sketch tells nothing apart it is scattered over the parts
+and seldom makes a key by itself. A document with so many thin parts that all the
+same ones could be thin takes keys from other, finer cuts of the hash range, and in
+the last resort (mostly frequent elements) its thin parts too; both of two such
+documents do. The sketch decides only which documents are compared, never whether
+they link.
+
+Of the documents that share a key the smallest leads; each document is told its
+leads. In the first pass every document is in one tile, that of the lead with which
+it shares most keys; groups beyond a tile are dealt over several, the lead in each.
+Then only groups in which verified links leave more than one component go through
+tiles again, those apart from their lead against all others. No pair of documents
+is ever a row: tiles return the edges of their own spanning forest, and only
+verified links are closed over.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are linked with nothing; texts of fewer than k words have their
 whole word sequence as one shingle; rows that repeat a doc_id are one vertex;
-rows without doc_id keep a null component. Equal sets are one class throughout.
+rows without doc_id keep a null component; an empty table gives an empty one;
+other columns are not read. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
-from corpusmill.llm.components import connected_components
+from corpusmill.llm.components import connected_components, told
 from corpusmill.session import durable
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 TILE_SETS = 1024
 TILE_SHINGLES = 1 << 21
+#: Cuts of the hash range tried for a document before its thin parts become keys.
+CUTS = 5
 #: Counters of the sketch, of a byte each, and the pages in which tasks hand them on.
 SLOTS, PAGES = 1 << 23, 64
 SLOT_SHIFT = np.uint64(64 - 23)
+#: Elements that at least so many documents hold, by the sketch, and four times as many as the mean of its counters, are frequent.
+FREQUENT = 50
 #: Ids of sets to look up are broadcast up to this number; beyond it the lookup is a shuffled join.
 BROADCAST_IDS = 500_000
-#: Clusters beyond one tile, with their bands (some tens of numbers), are broadcast up to this number; beyond it they meet documents by a salted key.
-BROADCAST_CLUSTERS, SALTS = 10_000, 64
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -63,17 +78,7 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def least_size(percent: int) -> int:
     """Sets with fewer elements link with equal ones only."""
-    return next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
-
-
-def keys(own: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest elements of a set, so many that sets that link have one of them in common."""
-    n = len(own)
-    if n < least_size(percent):
-        return np.zeros(0, np.uint64)
-    first = n + percent * n // -100 + 1
-    place = (sketch[own >> SLOT_SHIFT].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
-    return own[np.argpartition(place, first - 1)[:first]]
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
 
 
 def _tally(k: int):
@@ -110,13 +115,71 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(at, total)
 
 
-def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """The sketch of all documents (column text): SLOTS bytes, whatever the number of documents."""
+def frequent_slots(docs: DataFrame, k: int) -> np.ndarray:
+    """A bit for each slot of the sketch: is an element of it frequent in docs (column text)? SLOTS bits, whatever the number of documents."""
     pages = docs.select("text").mapInArrow(_tally(k), "page int, counts binary").repartition("page").sortWithinPartitions("page")
     out = np.zeros((PAGES, SLOTS // PAGES), np.uint8)
     for r in pages.mapInArrow(_total, "page int, counts binary").collect():
         out[r.page] = np.frombuffer(r.counts, np.uint8)
-    return out.ravel()
+    often = np.exp2(out.ravel() / 8.0) - 1
+    return np.packbits(often >= max(FREQUENT, 4 * often.mean()))
+
+
+@lru_cache(None)
+def bands(percent: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """(largest size of each band, (parts of which one is the same in sets that link, empty parts allowed beside) of each). Sets that link are in one band or in neighbouring ones."""
+    ends, cuts, low = [], [], least_size(percent)
+    while percent < 100 and low < 1 << 32:
+        end = max(low, low * 10_000 // percent**2)
+        least = 1 + (100 - percent) * 2 * end // (100 + percent)  # one more than the elements that only one of two sets of the band has
+        spare, need = 0, 1
+        while need > spare:  # two deviations above the empty parts that the smallest sets of the band have
+            spare = need
+            empty = (least + spare) * float(np.exp(-low / (least + spare)))
+            need = min(int(np.ceil(empty + 2 * empty**0.5)), max(1, least // 4))
+        ends.append(end)
+        cuts.append((least, spare))
+        low = end + 1
+    return ends, cuts
+
+
+def _parts(own: np.ndarray, rare: np.ndarray, band: int, least: int, spare: int) -> Iterator[np.ndarray]:
+    """least: parts of which one is the same in sets that link; spare: thin parts allowed beside them, more of both in each further cut."""
+    for cut in range(CUTS):
+        spare = max(spare, cut * least // 2)
+        move = lambda x: x if not cut else np.sort(H.mix(x + np.uint64(0x9E3779B97F4A7C15 * cut & (1 << 64) - 1)))  # noqa: B023, E731
+        name = lambda place: H.mix(place + np.uint64((band << 44) + (cut << 40) + 1))  # noqa: B023, E731
+        places, found = _contents(move(rare), least + spare)
+        yield H.mix(found + name(places))
+        if len(places) >= least:
+            return
+    thin = np.setdiff1d(np.arange(least + spare, dtype=np.uint64), places)
+    there, whole = _contents(move(own), least + spare)
+    content = np.zeros(least + spare, np.uint64)
+    content[there.astype(np.int64)] = whole
+    yield H.mix(content[thin.astype(np.int64)] + name(thin) + np.uint64(1))
+
+
+def _contents(at: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts that hold elements of a sorted set, sums that name what they hold)."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    place = (at >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    return place[starts], np.add.reduceat(H.mix(at), starts)
+
+
+def keys(own: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """Keys of a set (its sorted elements), one of which any two sets that link, and are not equal, have in common."""
+    n = len(own)
+    if n < least_size(percent):
+        return np.zeros(0, np.uint64)
+    ends, cuts = bands(percent)
+    band = bisect_left(ends, n)
+    wanted = [band, band + 1] if n * 100 // percent > ends[band] else [band]
+    slot = own >> SLOT_SHIFT
+    rare = own[(frequent[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1) == 0]
+    return np.concatenate([x for j in wanted for x in _parts(own, rare, j, *cuts[j])])
 
 
 def _describe(k: int):
@@ -134,18 +197,19 @@ def _name(own: np.ndarray) -> tuple[int, int, int]:
     return len(own), int(own.sum(dtype=np.uint64)), int(H.mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
 
 
-def _keys(k: int, percent: int, sketch):
+def _keys(k: int, percent: int, frequent):
     """doc_id, text -> (key, n, doc_id), a row for each key; of equal sets in a task only the first has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, met = sketch.value, set()
+        met: set[tuple[int, int, int]] = set()
+        bits = frequent.value
         for b in batches:
             found, sizes = [np.zeros(0, np.uint64)], []
             for own in sets_of(b.column(1), k):
                 name = _name(own)
                 if len(met) >= 1 << 20:
                     met.clear()
-                found.append(own[:0] if name in met else keys(own, order, percent))
+                found.append(own[:0] if name in met else keys(own, percent, bits))
                 sizes.append(len(own))
                 met.add(name)
             times = [len(x) for x in found[1:]]
@@ -156,25 +220,19 @@ def _keys(k: int, percent: int, sketch):
     return run
 
 
-def _meet(percent: int):
-    """Rows (key, n, doc_id) sorted so -> edges from the first document of a key, or of sizes that can link, to the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_n, first = None, 0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, n, doc = (c.to_numpy() for c in b.columns)
-            n = n.astype(np.int64)
-            before = np.concatenate(([last_n], n[:-1]))
-            fresh = np.concatenate(([key[0] != last_key], key[1:] != key[:-1])) | (percent * n > 100 * before)
-            firsts = np.concatenate(([first], doc[fresh]))
-            lead = firsts[np.cumsum(fresh)]
-            last_key, last_n, first = key[-1], n[-1], lead[-1]
-            pairs = np.unique(np.stack([lead, doc])[:, lead != doc], axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-    return run
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, doc_id) sorted so -> (lead, doc_id, shared): the first document of a key and each other one, with the number of such keys."""
+    last, first = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, doc = b.column(0).to_numpy(), b.column(2).to_numpy()
+        fresh = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
+        lead = np.concatenate(([first], doc[fresh]))[np.cumsum(fresh)]
+        last, first = key[-1], lead[-1]
+        apart = lead != doc
+        pairs = pa.table({"lead": lead[apart], "doc_id": doc[apart]}).group_by(["lead", "doc_id"]).aggregate([([], "count_all")])
+        yield from pairs.select(["lead", "doc_id", "count_all"]).rename_columns(["lead", "doc_id", "shared"]).combine_chunks().to_batches()
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -183,8 +241,8 @@ def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
-def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among sets; side 0 and 1: only pairs across are looked at, -1: all pairs."""
+def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the links among sets, those of one label taken as linked; side 0 and 1: only pairs across are looked at, -1: all pairs."""
     order = np.argsort(sizes, kind="stable")
     n, side = sizes[order], side[order]
     count = len(n)
@@ -194,7 +252,7 @@ def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
     maps = np.zeros((count, bits // 64), np.uint64)
     for row, i in enumerate(order):
         maps[row] = bitmap(sets[i], bits)
-    root = np.arange(count)
+    root = np.arange(count) if label is None else np.unique(label[order], return_inverse=True)[1]
     found = []
     for i in range(count - 1):
         end = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
@@ -209,18 +267,19 @@ def link(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
                 continue
             both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
             if 100 * both >= percent * (n[i] + n[j] - both):
-                root[root == root[j]] = root[i]
                 found.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
     return found
 
 
 def _tiles(percent: int):
-    """Rows (tile, side, doc_id, shingles), sorted by tile -> edges of each tile's forest."""
+    """Rows (tile, side, label, doc_id, shingles), sorted by tile -> edges of each tile's forest."""
 
     def solve(rows: list) -> list[tuple[int, int]]:
-        docs = [r[1] for r in rows]
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        return [(docs[i], docs[j]) for i, j in link(np.array([len(s) for s in sets]), sets, np.array([r[0] for r in rows]), percent)]
+        docs = [r[2] for r in rows]
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        found = link(np.array([len(s) for s in sets]), sets, np.array([r[0] for r in rows]), percent, np.array([r[1] for r in rows]))
+        return [(docs[i], docs[j]) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
@@ -238,47 +297,82 @@ def _tiles(percent: int):
     return run
 
 
-def _grid(members: DataFrame, percent: int, tile_sets: int) -> DataFrame:
-    """doc_id, n, cluster -> doc_id, tile, side: one tile for a small cluster, else cells of its size bands, paired."""
-    # fine bands: sets that link are in the same or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001)))
-    cells = (
-        members.withColumn("band", band)
-        .groupBy("cluster", "band")
-        .agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-        .withColumn("cells", F.greatest(F.ceil(F.col("c") / tile_sets), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int"))
-    )
-    whole = cells.groupBy("cluster").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("of"))
-    # only clusters beyond one tile need their bands, and those are few: no document is dealt by its cluster
-    large = durable(whole.filter((F.col("all_c") > tile_sets) | (F.col("all_s") > TILE_SHINGLES)).select(F.col("cluster").alias("large"), "of"))
-    near = lambda b: F.coalesce(F.element_at("of", b), F.lit(0))
-    banded = members.withColumn("band", band)
-    if large.count() <= BROADCAST_CLUSTERS:
-        spot = banded.join(F.broadcast(large), F.col("cluster") == F.col("large"), "left")
-    else:
-        salted = large.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        spot = banded.join(salted, (F.col("cluster") == F.col("large")) & (spread == F.col("salt_")), "left")
-    own = near(F.col("band"))
-    cell = F.pmod(F.xxhash64("doc_id"), F.greatest(own, F.lit(1)))
-    name = lambda *x: F.concat_ws("/", F.col("cluster").cast("string"), *[y.cast("string") for y in x])
-    upto = lambda hi: F.when(hi > 0, F.sequence(F.lit(0), hi - 1)).otherwise(F.array().cast("array<int>"))
-    b = F.col("band")
-    same = F.transform(
-        upto(own.cast("int")),
-        lambda j: F.struct(
-            name(b, F.least(j, F.col("cell")), b, F.greatest(j, F.col("cell"))).alias("tile"),
-            F.when(j == F.col("cell"), -1).when(j > F.col("cell"), 0).otherwise(1).alias("side"),
-        ),
+def _cells(count: Column, shingles: Column, tile_sets: int) -> Column:
+    """Into how many parts a group is dealt."""
+    return F.greatest(F.ceil(count / tile_sets), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+
+
+def _cell(cells: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.greatest(cells, F.lit(1))).cast("int")
+
+
+def _name_of(*parts: Column) -> Column:
+    return F.concat_ws("/", *[p.cast("string") for p in parts]).alias("tile")
+
+
+def _near_leads(led: DataFrame, tile_sets: int) -> DataFrame:
+    """First pass: lead, doc_id, shared, n -> tile, side, label, doc_id: each document with the lead it shares most keys with."""
+    best = led.groupBy("doc_id", "n").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
+    groups = best.groupBy("lead").agg(_cells(F.count("*"), F.sum("n"), tile_sets).alias("cells"))
+    placed = told(best, groups, ["lead"], "doc_id").select(_name_of(F.col("lead"), _cell(F.col("cells"))), "doc_id")
+    leads = groups.select(F.col("lead").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).select(_name_of(F.col("doc_id"), F.col("cell")), "doc_id")
+    return placed.unionByName(leads).distinct().select("tile", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), "doc_id")
+
+
+def _apart(led: DataFrame, labels: DataFrame, tile_sets: int) -> DataFrame:
+    """Second pass: groups with documents that no verified links join with their lead -> tile, side, label, doc_id; those against each other and all others."""
+    own = labels.select(F.col("doc_id"), F.col("label"))
+    marked = led.join(own, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    marked = told(marked, labels.select(F.col("doc_id").alias("lead"), F.col("label").alias("of_lead")), ["lead"], "doc_id", "left").withColumn("of_lead", F.coalesce("of_lead", "lead"))
+    far = F.col("label") != F.col("of_lead")
+    split = marked.select("lead", "doc_id", "n", "label", "of_lead", far.alias("far"))
+    groups = (
+        split.groupBy("lead")
+        .agg(F.count_if("far").alias("c"), F.sum(F.when(F.col("far"), F.col("n"))).alias("s"), F.count_if(~F.col("far")).alias("d"), F.sum(F.when(~F.col("far"), F.col("n"))).alias("t"), F.max("of_lead").alias("lead_label"), F.max("n").alias("most"))
+        .filter("c > 0")
+        .select("lead", "lead_label", _cells(F.col("c"), F.col("s"), tile_sets).alias("far_cells"), _cells(F.col("d") + 1, F.coalesce("t", F.lit(0)) + F.col("most"), tile_sets).alias("near_cells"))
     )
-    above = F.transform(upto(near(b + 1).cast("int")), lambda j: F.struct(name(b, F.col("cell"), b + 1, j).alias("tile"), F.lit(0).alias("side")))
-    below = F.transform(upto(near(b - 1).cast("int")), lambda j: F.struct(name(b - 1, j, b, F.col("cell")).alias("tile"), F.lit(1).alias("side")))
-    one = F.array(F.struct(name().alias("tile"), F.lit(-1).alias("side")))
-    return (
-        spot.withColumn("cell", cell.cast("int"))
-        .select("doc_id", F.explode(F.when(F.col("large").isNull(), one).otherwise(F.concat(same, above, below))).alias("t"))
-        .select("doc_id", "t.tile", "t.side")
+    groups = durable(groups)
+    leads = groups.select("lead", F.col("lead").alias("doc_id"), F.col("lead_label").alias("label"), F.lit(False).alias("far"), "far_cells", "near_cells")
+    rows = told(split, groups.drop("lead_label"), ["lead"], "doc_id").select(*leads.columns).unionByName(leads)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = _cell(F.col("far_cells"))
+    among = F.transform(
+        upto(F.col("far_cells")),
+        lambda j: F.struct(_name_of(F.col("lead"), F.least(j, mine), F.greatest(j, mine)), F.when(j == mine, -1).when(j > mine, 0).otherwise(1).alias("side")),
     )
+    across = F.transform(upto(F.col("near_cells")), lambda j: F.struct(_name_of(F.col("lead"), mine, F.lit("n"), j), F.lit(0).alias("side")))
+    others = F.transform(upto(F.col("far_cells")), lambda i: F.struct(_name_of(F.col("lead"), i, F.lit("n"), _cell(F.col("near_cells"))), F.lit(1).alias("side")))
+    return rows.select("doc_id", "label", F.explode(F.when(F.col("far"), F.concat(among, across)).otherwise(others)).alias("t")).select("t.tile", "t.side", "label", "doc_id").distinct()
+
+
+def _links(given: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (u, v) of the forests of all tiles; sets are made again from the texts of the documents that tiles hold."""
+    wanted = placed.select(F.col("doc_id").alias("wanted")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = given.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), k)], pa.binary())], ["doc_id", "shingles"])
+
+    # rows that repeat a doc_id with other texts: each keeps its own set
+    found = texts.mapInArrow(arrays, "doc_id long, shingles binary")
+    tiles = placed.join(found, "doc_id").select("tile", "side", "label", "doc_id", "shingles")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long")
+
+
+def leads(given: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """lead, doc_id (classes), shared (keys, about), n (of doc_id): every two sets that link are in one group of a lead, itself included."""
+    frequent = given.sparkSession.sparkContext.broadcast(frequent_slots(given, k))
+    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "key long, n int, doc_id long")
+    met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, "lead long, doc_id long, shared long")
+    met = met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared"))
+    classes = own.select(F.col("doc_id").alias("id"), "n", "rep")
+    met = met.join(classes, F.col("doc_id") == F.col("id")).select("lead", F.col("rep").alias("doc_id"), "shared", "n")
+    ahead = told(met, classes.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), ["lead"], "doc_id")
+    return ahead.filter("lead_rep <> doc_id").groupBy(F.col("lead_rep").alias("lead"), "doc_id", "n").agg(F.sum("shared").alias("shared"))
 
 
 def near_duplicates(
@@ -293,35 +387,18 @@ def near_duplicates(
     described = durable(given.mapInArrow(_describe(k), "doc_id long, n long, a long, b long"))
     named = described.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    own = durable(named.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select("doc_id", "n", "rep"))
+    own = durable(told(named, classes, ["n", "a", "b"], "doc_id").select("doc_id", "n", "rep"))
 
     # keys are several times the size of what names a set: they are made from the texts again rather than kept
-    sketch = docs.sparkSession.sparkContext.broadcast(rarity(given, k))
-    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, sketch), "key long, n int, doc_id long")
-    met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet(percent), "u long, v long")
-    clusters = connected_components(met).toDF("doc_id", "cluster")
-    reps = own.select("doc_id", "n", "rep")
-    members = durable(clusters.join(reps, "doc_id").select("cluster", F.col("rep").alias("doc_id"), "n").distinct())
-
-    wanted = members.select(F.col("doc_id").alias("wanted")).distinct()
-    if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = given.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), k)], pa.binary())], ["doc_id", "shingles"])
-
-    # rows that repeat a doc_id with other texts: each keeps its own size and set
-    found = texts.mapInArrow(arrays, "doc_id long, shingles binary")
-    placed = _grid(members, percent, tile_sets).join(found, "doc_id").select("tile", "side", "doc_id", "shingles")
-    links = placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long")
+    led = durable(leads(given, own, k, percent))
+    near = connected_components(_links(given, durable(_near_leads(led, tile_sets)), k, percent)).toDF("doc_id", "label")
+    further = _links(given, durable(_apart(led, near, tile_sets)), k, percent)
     # a doc_id of rows with several sets holds the classes of those sets together
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("u"))
     tied = own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).join(several, "u", "left_semi")
-    ends = connected_components(links.union(tied)).toDF("rep", "component")
+    ends = connected_components(near.toDF("u", "v").union(further).union(tied)).toDF("rep", "component")
     final = (
-        own.join(ends, "rep", "left")
+        told(own, ends, ["rep"], "doc_id", "left")
         .select("doc_id", F.coalesce("component", "rep").alias("component"))
         .groupBy("doc_id")
         .agg(F.min("component").alias("component"))
@@ -334,7 +411,8 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents of docs that have the smallest id of their group, those without words, and rows without id; rows that repeat an id are one document."""
-    groups = near_duplicates(docs, id_col=id_col, **how).filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = f"gone_{'_'.join(docs.columns)}"  # no column has this name
+    groups = near_duplicates(docs, id_col=id_col, **how).filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
     if groups.count() <= BROADCAST_IDS:
         groups = F.broadcast(groups)
-    return docs.join(groups, F.col(id_col) == F.col("gone_"), "left_anti")
+    return docs.join(groups, docs[id_col] == F.col(gone), "left_anti")

@@ -44,9 +44,9 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,tile,told", [(4, 85, 1024, 10_000), (4, 85, 4, 10_000), (4, 85, 4, 0), (5, 80, 1024, 10_000), (2, 80, 3, 10_000)])
-def test_against_brute_force(spark, monkeypatch, k, percent, tile, told):
-    monkeypatch.setattr(jaccard, "BROADCAST_CLUSTERS", told)
+@pytest.mark.parametrize("k,percent,tile,ids", [(4, 85, 1024, 500_000), (4, 85, 4, 500_000), (4, 85, 4, 0), (5, 80, 1024, 500_000), (2, 80, 3, 500_000)])
+def test_against_brute_force(spark, monkeypatch, k, percent, tile, ids):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
     rows = corpus(k * tile, 220)
     rows += [(1, None), (2, ""), (4, " \n"), (5, "one"), (7, "ONE"), (8, rows[3][1]), (10, rows[3][1].upper()), (rows[5][0], rows[5][1]), (rows[6][0], rows[9][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
@@ -62,22 +62,52 @@ def test_empty_and_null_ids(spark):
     assert jaccard.one_of_each(one).count() == 2
 
 
-@pytest.mark.parametrize("percent", [80, 85, 100])
-def test_keys_meet_for_every_pair_that_links(percent):
+@pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
+def test_keys_meet_for_every_pair_that_links(monkeypatch, percent):
     rnd = np.random.default_rng(5)
-    sketch = rnd.integers(0, 5, jaccard.SLOTS).astype(np.uint8)
-    for _ in range(4000):
-        n = int(rnd.integers(1, 60))
-        a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
-        drop, add = rnd.integers(0, max(1, n // 8) + 1, 2)
-        b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 64, int(add), dtype=np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if both and 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
-            assert np.intersect1d(jaccard.keys(a, sketch, percent), jaccard.keys(b, sketch, percent)).size
+    for cuts, share in ((jaccard.CUTS, 0), (1, 0), (jaccard.CUTS, 0.4), (jaccard.CUTS, 0.9), (jaccard.CUTS, 1)):
+        monkeypatch.setattr(jaccard, "CUTS", cuts)  # with one cut, many sets have too many empty parts
+        frequent = np.packbits(rnd.random(jaccard.SLOTS) < share)
+        linked = 0
+        for _ in range(1500):
+            n = int(rnd.integers(1, 60)) if rnd.random() < 0.8 else int(rnd.integers(60, 900))
+            a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            drop, add = rnd.integers(0, max(1, n // 8) + 1, 2)
+            b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 64, int(add), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
+                linked += 1
+                assert np.intersect1d(jaccard.keys(a, percent, frequent), jaccard.keys(b, percent, frequent)).size
+        assert linked > 100 or percent >= 99
+
+
+def test_shared_passages_make_no_groups(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(440)]
+        at = rnd.randrange(len(own))
+        rows.append((i, " ".join(own[:at] + passage + own[at:])))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = docs.select("doc_id", F.lit(490).cast("long").alias("n"), F.col("doc_id").alias("rep"))
+    led = jaccard.leads(docs, own, 5, 80).groupBy("lead").count().collect()
+    assert len(led) >= 20 and max(r["count"] for r in led) <= 3
+    # a sketch that tells nothing apart
+    monkeypatch.setattr(jaccard, "frequent_slots", lambda *_: np.zeros(jaccard.SLOTS // 8, np.uint8))
+    led = jaccard.leads(docs, own, 5, 80).groupBy("lead").count().collect()
+    assert len(led) >= 20 and max(r["count"] for r in led) <= 150
+
+
+def test_large_groups_of_near_copies(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[50:]])) for i in range(1, 400)] + [(i, " ".join(base)) for i in range(400, 900)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tile_sets=32).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}
 
 
 def test_sketch_counts_documents_of_all_tasks(spark):
-    docs = spark.createDataFrame([(f"common words that all have here own{i}",) for i in range(40)] + [(None,), ("",)], "text string").repartition(4)
-    sketch = jaccard.rarity(docs, 5)
-    assert sorted(sketch[sketch > 0].tolist())[-1] == int(8 * np.log2(41))
-    assert (sketch == 8).sum() == 40 and len(sketch) == jaccard.SLOTS
+    docs = spark.createDataFrame([(f"common words that all have here own{i}",) for i in range(80)] + [(None,), ("",)], "text string").repartition(4)
+    assert np.unpackbits(jaccard.frequent_slots(docs, 5)).sum() == 2
