@@ -23,7 +23,11 @@ ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "419
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package (a cluster gets it by --py-files), in batches that suit texts."""
+    """Let Python workers on this host import the package (a cluster gets it by --py-files), in batches that suit texts.
+
+    This holds for the whole session from then on: two settings of Arrow batches, and
+    the environment of Python workers that start later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
@@ -34,14 +38,27 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir; only on one machine (tests) a temporary one takes its place."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return told or tempfile.mkdtemp(prefix="shared-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the folder that all executors share.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    Spark removes checkpoints that are no longer referred to where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder in any store that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
