@@ -15,8 +15,9 @@ each part keeps the k best of each query, and the best of those are the result.
 Scores are the cosines of the original vectors in double precision, one fixed
 order of summation for each pair, so equal vectors tie exactly and smaller ids win.
 
-Defined results: vectors that are null, zero, hold null or non-finite components,
-or have another length than most, take no part; rows that repeat an id are
+Defined results: vectors that are null, zero or hold null or non-finite components
+take no part, nor do those of another length than most, whose cosine with the others
+is not defined; rows that repeat an id are
 candidates of their own, except that a query never finds its own id; a table with
 fewer than k candidates gives all of them; other columns are not read.
 """

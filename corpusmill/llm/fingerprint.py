@@ -13,7 +13,9 @@ share.
 Defined results: null is the empty text, whose fingerprint is all zeros; texts
 with the same paragraphs in another order have equal fingerprints; equal
 fingerprints have likeness 1, those of unequal exact parts at most BELOW_ONE, and an
-empty text has likeness 0 with any other.
+empty text has likeness 0 with any other; texts of any length are taken whole; rows
+that repeat an id follow each other by text (all of one id in one slice); an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from corpusmill.llm import hashing as H
 EXACT, SKETCH, WINDOW = 8, 128, 16
 #: Likeness of texts whose exact parts differ, at most.
 BELOW_ONE = 1 - 2.0**-20
-#: Slices of the id range in which neighbours are found.
-MOST_SLICES = 2500
+#: Slices of the id range in which neighbours are found, at most; their bounds are told to all tasks.
+MOST_SLICES = 20_000
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     width = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, min(MOST_SLICES, max(8 * width, n // 2000), n // 4))
     shares = [i / count for i in range(1, count)] + [1.0]
-    bounds = sorted(set(given.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0]) | {given.agg(F.max("doc_id")).first()[0]})
+    bounds = sorted(set(given.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * count))).first()[0]) | {given.agg(F.max("doc_id")).first()[0]})
     own = F.struct(_slice_of(bounds, F.col("doc_id")).alias("slice"), F.lit(True).alias("own"))
     held = F.struct(F.pmod(own["slice"] + 1, F.lit(len(bounds))).alias("slice"), F.lit(False).alias("own"))
     ends = given.sparkSession.createDataFrame([(b,) for b in bounds], "bound long")  # MOST_SLICES + 1 at most

@@ -27,6 +27,8 @@ ORDER = 3
 UNDETERMINED = "und"
 #: Training documents are a seeded sample of about so many for each language.
 SAMPLE_DOCS = 500
+#: Texts of so many bytes are held to the bits a byte that labelled ones need at most, times MARGIN.
+LEAST_BYTES, MARGIN = 200, 1.25
 PAD = b"\n" * ORDER
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
@@ -149,17 +151,21 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, seed: int) -> DataFrame:
+    """lang, text of about sample_docs documents for each language."""
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)).alias("u")
+    )
+    sizes = labelled.groupBy("lang").count()
+    return labelled.join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("count") < sample_docs * 1_000_000)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Trees:
     """Trees from whole texts of a seeded sample of about sample_docs documents for each non-null language.
 
     The sample bounds the model; what reaches the driver is its distinct windows.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)).alias("u")
-    )
-    sizes = labelled.groupBy("lang").count()
-    some = labelled.join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("count") < sample_docs * 1_000_000)
-    table = window_counts(some).toPandas()
+    table = window_counts(_sample(docs, id_col, text_col, lang_col, sample_docs, seed)).toPandas()
     return Trees({lang: (g["window"].to_numpy().astype(np.uint32), g["c"].to_numpy().astype(np.float64)) for lang, g in table.groupby("lang")})
 
 
@@ -200,17 +206,35 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     )
 
 
-def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", most_bits: float = 8.0) -> DataFrame:
-    """The rows of docs whose language is determined; texts that no tree codes in most_bits for each byte go too."""
+def usual_bits(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> float:
+    """The most bits for each byte that a text of LEAST_BYTES needs in its best language, over another seeded sample of labelled documents, with MARGIN added; 8 without any."""
+    some = _sample(docs, id_col, text_col, lang_col, sample_docs, seed)
+    found = identify(some.filter(F.octet_length("text") >= LEAST_BYTES).select(F.lit(0).alias("doc_id"), "text"), trees)
+    most = found.filter(F.col("lang_pred") != UNDETERMINED).agg(F.max("bits")).first()[0]
+    return 8.0 if most is None else min(8.0, most * MARGIN)
+
+
+def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", most_bits: float = 8.0, lang_col: str | None = None) -> DataFrame:
+    """The rows of docs whose language is determined; lang_col, where it is null, gets the language found.
+
+    Texts without a letter go, and texts that no tree codes in most_bits for each byte:
+    a text of fewer bytes than LEAST_BYTES, whose first bytes weigh much, only goes
+    beyond 8 bits.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.arrow_udf("boolean")
-    def kept(text: pa.Array) -> pa.Array:
+    @F.arrow_udf("string")
+    def found(text: pa.Array) -> pa.Array:
         t = shared.value
         keep = has_letter(text)
+        langs = np.full(len(text), UNDETERMINED, object)
         if t.langs and len(text):
             size = np.maximum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), 1)
-            keep &= t.code_lengths(text).min(axis=1) <= most_bits * size
-        return pa.array(keep)
-
-    return docs.filter(kept(F.col(text_col)))
+            bits = t.code_lengths(text)
+            keep &= bits.min(axis=1) <= np.where(size < LEAST_BYTES, 8.0, most_bits) * size
+            langs = np.array(t.langs, object)[bits.argmin(axis=1)]
+        return pa.array(np.where(keep, langs, None).tolist(), pa.string())
+
+    known = docs.select(F.struct("*").alias("row_"), found(F.col(text_col)).alias("found_")).filter("found_ is not null")
+    pick = lambda c: F.coalesce(f"row_.`{c}`", F.when(F.col("found_") != UNDETERMINED, F.col("found_"))) if c == lang_col else F.col(f"row_.`{c}`")
+    return known.select(*[pick(c).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ host's boilerplate by host and a salt, or by broadcast when it is small.
 Defined results: null texts stay null and count as documents of their host without
 lines; empty lines and lines of white space are never boilerplate; a null host is
 a host; rows that repeat are separate documents; an empty table gives an empty one;
-other columns stay as they are.
+other columns stay as they are, but for one named n_dropped, which the count replaces.
 """
 
 from __future__ import annotations
@@ -47,16 +47,18 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     """docs with boilerplate lines taken out of the text, and n_dropped, the lines taken out of each row."""
     found = durable(boilerplate(docs, text_col, host_col, most_share, least_pages))
     hosts = found.groupBy(F.col("host").alias("host_")).agg(F.collect_set("line").alias("bad_"))
+    given = docs.select(F.struct("*").alias("row_"), F.col(host_col).alias("of_"), F.col(text_col).alias("text_"))
     if found.count() <= BROADCAST_LINES:
-        met = docs.join(F.broadcast(hosts), F.col(host_col).eqNullSafe(F.col("host_")), "left")
+        met = given.join(F.broadcast(hosts), F.col("of_").eqNullSafe(F.col("host_")), "left")
     else:
         salted = hosts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int")
-        met = docs.withColumn("spread_", salt).join(salted, F.col(host_col).eqNullSafe(F.col("host_")) & (F.col("spread_") == F.col("salt_")), "left")
-    lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("bad_"), F.xxhash64(x)))
-    text = F.when(F.col("bad_").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("bad_").isNull() | F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
-    others = [F.col(c) for c in docs.columns if c != text_col]
-    place = docs.columns.index(text_col)
-    return met.select(*others[:place], text.alias(text_col), *others[place:], dropped.cast("long").alias("n_dropped"))
+        salt = F.pmod(F.xxhash64("row_"), F.lit(SALTS)).cast("int")
+        met = given.withColumn("spread_", salt).join(salted, F.col("of_").eqNullSafe(F.col("host_")) & (F.col("spread_") == F.col("salt_")), "left")
+    # a host's list is looked through once for a document, then only the lines found are
+    lines = _lines(F.col("text_"))
+    met = met.withColumn("here_", F.array_intersect("bad_", F.transform(lines, lambda x: F.xxhash64(x))))
+    kept = F.filter(lines, lambda x: ~F.array_contains("here_", F.xxhash64(x)))
+    none = F.coalesce(F.size("here_"), F.lit(0)) <= 0
+    text = F.when(none, F.col("text_")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(none, F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")
+    return met.select(*[text.alias(c) if c == text_col else F.col(f"row_.`{c}`").alias(c) for c in docs.columns if c != "n_dropped"], dropped)

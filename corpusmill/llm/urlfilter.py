@@ -9,7 +9,8 @@ tested. Rules without a token are fetched by every url.
 Defined results: null urls and those without `://` have empty host and path and
 no rule, and the verdict `allow`; of several fitting host-and-path rules the
 longest wins; patterns decide only where none of those fits; repeated rows agree;
-other columns stay as they are.
+an empty table gives an empty one; other columns are not read. Urls that share host
+and path (all without a host, say) are judged once and told in salted parts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.components import told
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules broadcast at most; larger rule sets are joined by a shuffle on the token.
 BROADCAST_RULES = 100_000
@@ -104,9 +107,9 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = BASE_RULES + PATTERNS,
             F.max_by(F.struct("name", "verdict"), F.when(F.col("pattern") == "", F.struct(F.length("name"), "name"))).alias("base"),
             F.min(F.when(F.col("pattern") != "", F.struct("n", "name", "verdict"))).alias("more"),
         )
-        .select(F.col("host").alias("h_"), F.col("path").alias("p_"), "base", "more")
+        .select("host", "path", "base", "more")
     )
-    return urls.join(found, (F.col("host") == F.col("h_")) & (F.col("path") == F.col("p_")), "left").select(
+    return told(urls, found, ["host", "path"], "page_id", "left").select(
         "page_id",
         "host",
         "path",

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import jaccard, langid, linededup, mixing, queries
 
@@ -99,7 +100,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     given, known, lines, single, mix, ids = (o.collect() for o in outs)
     texts = lambda rows: {r.doc_id: r.text for r in rows}
     lettered = {r.doc_id for r in given if any(c.isalpha() for c in r.text or "")}
-    assert {r.doc_id for r in known} == lettered
+    assert {r.doc_id for r in known} <= lettered and len(known) >= 0.99 * len(lettered) and all(r.lang for r in known)
     cut = boilerplate([(r.doc_id, r.text, r.source) for r in known], linededup.MOST_SHARE, linededup.LEAST_PAGES)
     assert texts(lines) == {r.doc_id: t for r, t in zip(known, cut)}
     groups = jaccard.near_duplicates(outs[2]).collect()
@@ -118,6 +119,43 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert len(p.run(spark, SF).collect()) == len(ids)
 
 
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    if rows == "odd":
+        odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", None, "a", 5), (None, "the cat sat on the mat", "en", None, 22), (5, "the dog sat on the mat", "en", "b", 22), (5, "the dog sat on the mat", "en", "b", 22), (6, "a b " * 9000, None, "b", 9)]
+        docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    clash = ["n", "rep", "tile", "label", "row_", "salt_", "n_dropped", "gone_", "bad_", "host", "u", "slice", "epochs"]
+    docs = docs.withColumns({c: F.lit("x") for c in clash})
+    for name, stage in p.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = docs.collect()
+    assert (not got) == (rows == "none") and {r.doc_id for r in got} <= {None, 5, 6}
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"menu\nstory number {i} of many", "a", 7, "x", "y") for i in range(9)], "doc_id long, text string, source string, n_dropped int, bad_ string, gone_ string")
+    cut = linededup.drop_boilerplate(docs, most_share=0.5)
+    assert sorted(cut.columns) == sorted(docs.columns) and {r.n_dropped for r in cut.collect()} == {1} and {r.bad_ for r in cut.collect()} == {"x"}
+    single = jaccard.one_of_each(docs)
+    assert single.columns == docs.columns and single.count() == 9
+
+
+def test_language_stage_rejects_noise(spark):
+    import random
+
+    rnd = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = [(10**9 + i, "".join(rnd.choice("qxzjkwvQXZJ?/ ") for _ in range(600)), None, "a", 600) for i in range(20)]
+    both = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    trees = langid.train(both)
+    kept = langid.keep_identified(both, trees, most_bits=langid.usual_bits(both, trees), lang_col="lang")
+    assert kept.filter("doc_id >= 1000000000").count() == 0 and kept.filter("lang is null").count() == 0
+
+
 def test_registered():
     assert len(queries.queries()) == 11 and queries.oracle_sql().keys() <= queries.queries().keys()
     assert langid.UNDETERMINED == "und"
