@@ -5,24 +5,18 @@ hashed bitmap signatures bound the overlap of two sets from above (each element
 that only one set has flips at most one bit), and only pairs that the bound lets
 pass are intersected, as sorted arrays.
 
-Which documents share a tile. Two sets that link differ in at most d elements, d
-given by the largest size of their band. The hash range is cut into more than d
-parts, so at least one part holds the same elements in both. A document's keys are
-the elements of each part that are not frequent (by a sketch of how many documents
-hold an element: a fixed number of counters, added up over all documents), where
-there are any: in its own band and, where it may link with sets of the next one, in
-that. Parts without such elements are thin. A passage that many documents share is
-in no key, and where the sketch tells nothing apart it is scattered over the parts
-and seldom makes a key by itself. A document with so many thin parts that all the
-same ones could be thin takes keys from other, finer cuts of the hash range, and in
-the last resort (mostly frequent elements) its thin parts too; both of two such
-documents do. The sketch decides only which documents are compared, never whether
-they link.
+Which documents share a tile. Two sets of n and m elements that link have at
+least percent of n, and of m, in common, so under one order of all elements each
+has a common element among its first n - ceil(percent n / 100) + 1: those are a
+document's keys. The order is by a sketch of how many documents hold an element,
+rarest first: a fixed number of counters, added up over all documents, so that
+lines and passages that many documents share are hardly ever keys. The sketch
+decides only which documents are compared, never whether they link.
 
 Of the documents that share a key the smallest leads; each document is told its
 leads. In the first pass every document is in one tile, that of the lead with which
-it shares most keys; groups beyond a tile are dealt over several, the lead in each.
-Then only groups in which verified links leave more than one component go through
+it shares most keys; groups beyond a tile are dealt over several, the lead in each,
+and then dealt anew. Then only groups in which verified links leave more than one component go through
 tiles again, those apart from their lead against all others. No pair of documents
 is ever a row: tiles return the edges of their own spanning forest, and only
 verified links are closed over.
@@ -37,9 +31,7 @@ other columns are not read. Equal sets are one class throughout.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +46,11 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 TILE_SETS = 1024
 TILE_SHINGLES = 1 << 21
-#: Cuts of the hash range tried for a document before its thin parts become keys.
-CUTS = 5
 #: Counters of the sketch, of a byte each, and the pages in which tasks hand them on.
 SLOTS, PAGES = 1 << 23, 64
 SLOT_SHIFT = np.uint64(64 - 23)
-#: Elements that at least so many documents hold, by the sketch, and four times as many as the mean of its counters, are frequent.
-FREQUENT = 50
+#: Marks by which a task tells elements that it met before.
+MARKS = 1 << 25
 #: Ids of sets to look up are broadcast up to this number; beyond it the lookup is a shuffled join.
 BROADCAST_IDS = 500_000
 
@@ -81,15 +71,31 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
 
 
+def keys(own: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest elements of a set, so many that sets that link have one of them in common."""
+    n = len(own)
+    if n < least_size(percent):
+        return np.zeros(0, np.uint64)
+    first = n + percent * n // -100 + 1
+    place = (sketch[own >> SLOT_SHIFT].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+    return own[np.argpartition(place, first - 1)[:first]]
+
+
 def _tally(k: int):
-    """text -> (page, counters): in how many of a task's documents an element of each slot occurs, up to 255."""
+    """text -> (page, counters): in how many of a task's documents, up to 255, an element of each slot occurs again.
+
+    What a task meets for the first time leaves only a mark, so elements of one
+    document hardly reach the counters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint8)
+        counts, marks = np.zeros(SLOTS, np.uint8), np.zeros(MARKS, bool)
         for b in batches:
             for own in sets_of(b.column(0), k):
-                slots = own >> SLOT_SHIFT
+                mark = own & np.uint64(MARKS - 1)
+                slots = own[marks[mark]] >> SLOT_SHIFT
                 counts[slots] += counts[slots] < 255
+                marks[mark] = True
         pages = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PAGES)]
         yield pa.record_batch([pa.array(range(PAGES), pa.int32()), pa.array(pages, pa.binary())], ["page", "counts"])
 
@@ -115,71 +121,13 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(at, total)
 
 
-def frequent_slots(docs: DataFrame, k: int) -> np.ndarray:
-    """A bit for each slot of the sketch: is an element of it frequent in docs (column text)? SLOTS bits, whatever the number of documents."""
+def rarity(docs: DataFrame, k: int) -> np.ndarray:
+    """The sketch of all documents (column text): SLOTS bytes, whatever the number of documents."""
     pages = docs.select("text").mapInArrow(_tally(k), "page int, counts binary").repartition("page").sortWithinPartitions("page")
     out = np.zeros((PAGES, SLOTS // PAGES), np.uint8)
     for r in pages.mapInArrow(_total, "page int, counts binary").collect():
         out[r.page] = np.frombuffer(r.counts, np.uint8)
-    often = np.exp2(out.ravel() / 8.0) - 1
-    return np.packbits(often >= max(FREQUENT, 4 * often.mean()))
-
-
-@lru_cache(None)
-def bands(percent: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """(largest size of each band, (parts of which one is the same in sets that link, empty parts allowed beside) of each). Sets that link are in one band or in neighbouring ones."""
-    ends, cuts, low = [], [], least_size(percent)
-    while percent < 100 and low < 1 << 32:
-        end = max(low, low * 10_000 // percent**2)
-        least = 1 + (100 - percent) * 2 * end // (100 + percent)  # one more than the elements that only one of two sets of the band has
-        spare, need = 0, 1
-        while need > spare:  # two deviations above the empty parts that the smallest sets of the band have
-            spare = need
-            empty = (least + spare) * float(np.exp(-low / (least + spare)))
-            need = min(int(np.ceil(empty + 2 * empty**0.5)), max(1, least // 4))
-        ends.append(end)
-        cuts.append((least, spare))
-        low = end + 1
-    return ends, cuts
-
-
-def _parts(own: np.ndarray, rare: np.ndarray, band: int, least: int, spare: int) -> Iterator[np.ndarray]:
-    """least: parts of which one is the same in sets that link; spare: thin parts allowed beside them, more of both in each further cut."""
-    for cut in range(CUTS):
-        spare = max(spare, cut * least // 2)
-        move = lambda x: x if not cut else np.sort(H.mix(x + np.uint64(0x9E3779B97F4A7C15 * cut & (1 << 64) - 1)))  # noqa: B023, E731
-        name = lambda place: H.mix(place + np.uint64((band << 44) + (cut << 40) + 1))  # noqa: B023, E731
-        places, found = _contents(move(rare), least + spare)
-        yield H.mix(found + name(places))
-        if len(places) >= least:
-            return
-    thin = np.setdiff1d(np.arange(least + spare, dtype=np.uint64), places)
-    there, whole = _contents(move(own), least + spare)
-    content = np.zeros(least + spare, np.uint64)
-    content[there.astype(np.int64)] = whole
-    yield H.mix(content[thin.astype(np.int64)] + name(thin) + np.uint64(1))
-
-
-def _contents(at: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts that hold elements of a sorted set, sums that name what they hold)."""
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    place = (at >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return place[starts], np.add.reduceat(H.mix(at), starts)
-
-
-def keys(own: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """Keys of a set (its sorted elements), one of which any two sets that link, and are not equal, have in common."""
-    n = len(own)
-    if n < least_size(percent):
-        return np.zeros(0, np.uint64)
-    ends, cuts = bands(percent)
-    band = bisect_left(ends, n)
-    wanted = [band, band + 1] if n * 100 // percent > ends[band] else [band]
-    slot = own >> SLOT_SHIFT
-    rare = own[(frequent[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1) == 0]
-    return np.concatenate([x for j in wanted for x in _parts(own, rare, j, *cuts[j])])
+    return out.ravel()
 
 
 def _describe(k: int):
@@ -197,19 +145,19 @@ def _name(own: np.ndarray) -> tuple[int, int, int]:
     return len(own), int(own.sum(dtype=np.uint64)), int(H.mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
 
 
-def _keys(k: int, percent: int, frequent):
+def _keys(k: int, percent: int, sketch):
     """doc_id, text -> (key, n, doc_id), a row for each key; of equal sets in a task only the first has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int, int]] = set()
-        bits = frequent.value
+        order = sketch.value
         for b in batches:
             found, sizes = [np.zeros(0, np.uint64)], []
             for own in sets_of(b.column(1), k):
                 name = _name(own)
                 if len(met) >= 1 << 20:
                     met.clear()
-                found.append(own[:0] if name in met else keys(own, percent, bits))
+                found.append(own[:0] if name in met else keys(own, order, percent))
                 sizes.append(len(own))
                 met.add(name)
             times = [len(x) for x in found[1:]]
@@ -310,13 +258,18 @@ def _name_of(*parts: Column) -> Column:
     return F.concat_ws("/", *[p.cast("string") for p in parts]).alias("tile")
 
 
-def _near_leads(led: DataFrame, tile_sets: int) -> DataFrame:
-    """First pass: lead, doc_id, shared, n -> tile, side, label, doc_id: each document with the lead it shares most keys with."""
-    best = led.groupBy("doc_id", "n").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead"))
-    groups = best.groupBy("lead").agg(_cells(F.count("*"), F.sum("n"), tile_sets).alias("cells"))
-    placed = told(best, groups, ["lead"], "doc_id").select(_name_of(F.col("lead"), _cell(F.col("cells"))), "doc_id")
-    leads = groups.select(F.col("lead").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).select(_name_of(F.col("doc_id"), F.col("cell")), "doc_id")
-    return placed.unionByName(leads).distinct().select("tile", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), "doc_id")
+def _near_leads(led: DataFrame, tile_sets: int) -> tuple[DataFrame, DataFrame]:
+    """First pass: lead, doc_id, shared, n -> tile, side, label, doc_id: each document with the lead it shares most keys with; and groups beyond a tile dealt anew."""
+    best = durable(led.groupBy("doc_id", "n").agg(F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("lead")))
+    groups = durable(best.groupBy("lead").agg(_cells(F.count("*"), F.sum("n"), tile_sets).alias("cells")))
+
+    def dealt(of: DataFrame, seed: int) -> DataFrame:
+        cell = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("cells"))
+        placed = told(best, of, ["lead"], "doc_id").select(_name_of(F.col("lead"), cell), "doc_id")
+        leads = of.select(F.col("lead").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).select(_name_of(F.col("doc_id"), F.col("cell")), "doc_id")
+        return placed.unionByName(leads).distinct().select("tile", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), "doc_id")
+
+    return dealt(groups, 0), dealt(groups.filter("cells > 1"), 1)
 
 
 def _apart(led: DataFrame, labels: DataFrame, tile_sets: int) -> DataFrame:
@@ -365,10 +318,10 @@ def _links(given: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFra
 
 def leads(given: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """lead, doc_id (classes), shared (keys, about), n (of doc_id): every two sets that link are in one group of a lead, itself included."""
-    frequent = given.sparkSession.sparkContext.broadcast(frequent_slots(given, k))
-    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "key long, n int, doc_id long")
+    sketch = given.sparkSession.sparkContext.broadcast(rarity(given, k))
+    rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, sketch), "key long, n int, doc_id long")
     met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, "lead long, doc_id long, shared long")
-    met = met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared"))
+    met = durable(met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared")))
     classes = own.select(F.col("doc_id").alias("id"), "n", "rep")
     met = met.join(classes, F.col("doc_id") == F.col("id")).select("lead", F.col("rep").alias("doc_id"), "shared", "n")
     ahead = told(met, classes.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), ["lead"], "doc_id")
@@ -391,7 +344,14 @@ def near_duplicates(
 
     # keys are several times the size of what names a set: they are made from the texts again rather than kept
     led = durable(leads(given, own, k, percent))
-    near = connected_components(_links(given, durable(_near_leads(led, tile_sets)), k, percent)).toDF("doc_id", "label")
+    first, again = _near_leads(led, tile_sets)
+    links = durable(_links(given, durable(first), k, percent))
+    again = durable(again)
+    if not again.isEmpty():
+        known = connected_components(links).toDF("doc_id", "known")
+        again = again.join(known, "doc_id", "left").select("tile", "side", F.coalesce("known", "label").alias("label"), "doc_id")
+        links = links.union(_links(given, durable(again), k, percent))
+    near = durable(connected_components(links).toDF("doc_id", "label"))
     further = _links(given, durable(_apart(led, near, tile_sets)), k, percent)
     # a doc_id of rows with several sets holds the classes of those sets together
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("u"))
