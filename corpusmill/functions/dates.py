@@ -34,3 +34,8 @@ def add_business_days(d: Column, n: int) -> Column:
 def active_on(day: Column, published: Column, effective: Column, revoked: Column) -> Column:
     """From the later of publication and effect up to, not including, the day of repeal."""
     return (day >= F.greatest(published, F.coalesce(effective, published))) & (revoked.isNull() | (day < revoked))
+
+
+def issues(checks: dict[str, Column]) -> Column:
+    """The names of the checks that hold, as an array."""
+    return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())

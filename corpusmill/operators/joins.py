@@ -46,3 +46,23 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = 60) -> DataFra
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.groupBy(key).agg(F.sum("s").alias("score"))
+
+
+def nearest_number(asked: DataFrame, known: DataFrame, key: str, block: int = 1 << 12) -> DataFrame:
+    """asked with nearest, the number of known (key: integers) that is nearest, the lower of two.
+
+    Numbers are dealt in blocks; the last known one before a block and the first after
+    it stand in for all others, so no task needs more than a block.
+    """
+    at = F.floor(F.col(key) / block)
+    blocks = known.groupBy(at.alias("b_")).agg(F.min(key).alias("lo_"), F.max(key).alias("hi_")).unionByName(asked.select(at.alias("b_")).distinct(), allowMissingColumns=True)
+    blocks = blocks.groupBy("b_").agg(F.max("lo_").alias("lo_"), F.max("hi_").alias("hi_"))
+    whole = W.orderBy("b_")  # a row for each block
+    ends = blocks.select("b_", F.last("hi_", True).over(whole.rowsBetween(W.unboundedPreceding, -1)).alias("before_"), F.first("lo_", True).over(whole.rowsBetween(1, W.unboundedFollowing)).alias("after_"))
+    rows = asked.withColumn("is_", F.lit(False)).unionByName(known.select(key).withColumn("is_", F.lit(True)), allowMissingColumns=True).withColumn("b_", at)
+    own = F.when(F.col("is_"), F.col(key))
+    down, up = W.partitionBy("b_").orderBy(key, F.desc("is_")), W.partitionBy("b_").orderBy(F.desc(key), F.desc("is_"))
+    seen = rows.withColumns({"lower_": F.last(own, True).over(down), "upper_": F.last(own, True).over(up)}).filter("not is_").join(ends, "b_")
+    low, high = F.coalesce("lower_", "before_"), F.coalesce("upper_", "after_")
+    near = F.when(high.isNull() | (F.col(key) - low <= high - F.col(key)), low).otherwise(high)
+    return seen.withColumn("nearest", near).drop("is_", "b_", "lower_", "upper_", "before_", "after_")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 1000
+BUCKETS = 100
 
 
 def matching(df: DataFrame, **equal) -> DataFrame:
@@ -20,22 +20,23 @@ def matching(df: DataFrame, **equal) -> DataFrame:
 def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
     """by, and for each share p the value at place min(floor(n p), n - 1) from 0 in sorted order.
 
-    Values are counted in equal-width buckets first, so only the rows of one bucket
-    for each group and share are ordered, never a whole group.
+    Equal values are counted first. Counts are put in buckets whose bounds are
+    approximate quantiles of each group, so however heavy a tail is, only a bucket's
+    distinct values are ordered, never a whole group.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("g_"), F.col(value).alias("v_"))
-    span = rows.groupBy(F.col("g_").alias("h_")).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count("*").alias("n_"))
-    width = F.col("hi_") - F.col("lo_")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("v_") - F.col("lo_")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
-    placed = rows.join(span, F.col("g_").eqNullSafe(F.col("h_"))).select("g_", "v_", "n_", bucket.alias("b_"))
-    counts = placed.groupBy("g_", "b_").agg(F.count("*").alias("c_"), F.max("n_").alias("n_"))
-    before = counts.withColumn("before_", F.coalesce(F.sum("c_").over(W.partitionBy("g_").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g_"), F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    span = rows.groupBy(F.col("g_").alias("h_")).agg(F.percentile_approx("v_", cuts, 10 * buckets).alias("cuts_"), F.sum("c_").alias("n_"))
+    bucket = F.size(F.filter("cuts_", lambda x: x < F.col("v_")))
+    placed = rows.join(span, F.col("g_").eqNullSafe(F.col("h_"))).select("g_", "v_", "c_", "n_", bucket.alias("b_"))
+    counts = placed.groupBy("g_", "b_").agg(F.sum("c_").alias("k_"), F.max("n_").alias("n_"))
+    before = counts.withColumn("before_", F.coalesce(F.sum("k_").over(W.partitionBy("g_").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n_") * p), F.col("n_") - 1).alias("at")) for k, p in shares.items()]))
-    wanted = before.select("*", asked.alias("p_")).filter("p_.at >= before_ and p_.at < before_ + c_")
-    wanted = wanted.select(F.col("g_").alias("wg_"), F.col("b_").alias("wb_"), F.col("p_.name").alias("name_"), (F.col("p_.at") - F.col("before_") + 1).alias("rank_"))
+    wanted = before.select("*", asked.alias("p_")).filter("p_.at >= before_ and p_.at < before_ + k_")
+    wanted = wanted.select(F.col("g_").alias("wg_"), F.col("b_").alias("wb_"), F.col("p_.name").alias("name_"), (F.col("p_.at") - F.col("before_")).alias("rank_"))
     found = placed.join(wanted, F.col("g_").eqNullSafe(F.col("wg_")) & (F.col("b_") == F.col("wb_")))
-    row = F.row_number().over(W.partitionBy("g_", "b_", "name_").orderBy("v_"))
-    hit = found.withColumn("row_", row).filter("row_ = rank_")
+    upto = F.sum("c_").over(W.partitionBy("g_", "b_", "name_").orderBy("v_").rowsBetween(W.unboundedPreceding, W.currentRow))
+    hit = found.withColumn("upto_", upto).filter("rank_ < upto_ and rank_ >= upto_ - c_")
     return hit.groupBy(F.col("g_").alias(by)).agg(*[F.max(F.when(F.col("name_") == k, F.col("v_"))).alias(k) for k in shares])
 
 
@@ -51,3 +52,13 @@ def iqr_outliers(df: DataFrame, by: str, value: str) -> DataFrame:
     q = nearest_rank(df, by, value, {"q1_": 0.25, "q3_": 0.75}).withColumnRenamed(by, "k_")
     reach = 1.5 * (F.col("q3_") - F.col("q1_"))
     return df.join(q, F.col(by).eqNullSafe(F.col("k_"))).filter((F.col(value) < F.col("q1_") - reach) | (F.col(value) > F.col("q3_") + reach)).drop("k_", "q1_", "q3_")
+
+
+def value_type(x: Column) -> Column:
+    return F.when(x.rlike(r"^-?[0-9]+$"), "int").when(x.rlike(r"^-?[0-9]+[.][0-9]+$"), "float").otherwise("string")
+
+
+def modal_share(df: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """by, n, and the share of the most frequent kind."""
+    each = df.groupBy(*by, kind).agg(F.count("*").alias("c_"))
+    return each.groupBy(*by).agg(F.sum("c_").alias("n"), F.round(F.max("c_") / F.sum("c_"), 6).alias("modal_share"))

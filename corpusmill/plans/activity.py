@@ -67,12 +67,6 @@ def failed_threshold_15min(spark: SparkSession, d: str) -> DataFrame:
     return stats.matching(table(spark, d, "events"), event_type="error").withColumn("second", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts")).withColumn("recent", F.count("*").over(w)).filter("recent >= 2").select("event_id", "user_id", "recent")
 
 
-@query("SELECT event_id, event_type FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) > 300000000")
-def alerts_after_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("ts").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return table(spark, d, "events").withColumn("before", before).filter(F.col("before").isNull() | (F.timestamp_diff("MICROSECOND", "before", "ts") > 300_000_000)).select("event_id", "event_type")
-
-
 @query("SELECT event_id, event_type, coalesce(click, -1) AS click FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS click FROM events) WHERE event_type = 'purchase'")
 def asof_parent(spark: SparkSession, d: str) -> DataFrame:
     return joins.as_of(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", "event_id", "click").filter("event_type = 'purchase'").select("event_id", "event_type", F.coalesce("click", F.lit(-1)).alias("click"))
