@@ -102,3 +102,11 @@ def content_hash(*parts: Column) -> Column:
 def rollout(key: Column, flag: str) -> Column:
     """A share from 0 to 1 that a key and a flag's name fix."""
     return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(flag + ":"), key.cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(10_000)) / 10_000
+
+
+def first_matching(x: Column, patterns: dict[str, str], rest: str) -> Column:
+    """The name of the first pattern that occurs in x."""
+    out = F.lit(rest)
+    for name, pattern in reversed(patterns.items()):
+        out = F.when(x.rlike(pattern), name).otherwise(out)
+    return out

@@ -66,3 +66,12 @@ def nearest_number(asked: DataFrame, known: DataFrame, key: str, block: int = 1
     low, high = F.coalesce("lower_", "before_"), F.coalesce("upper_", "after_")
     near = F.when(high.isNull() | (F.col(key) - low <= high - F.col(key)), low).otherwise(high)
     return seen.withColumn("nearest", near).drop("is_", "b_", "lower_", "upper_", "before_", "after_")
+
+
+def expand_words(df: DataFrame, key: str, text: str, synonyms: DataFrame, most: int, least: float = 0.0) -> DataFrame:
+    """key, words: each word of text followed by its `most` heaviest synonyms (term, other, weight), in the order of the words."""
+    terms = df.select(key, F.posexplode(F.split(text, " ")).alias("pos", "term"))
+    place = F.row_number().over(W.partitionBy(key, "pos").orderBy(F.desc("weight"), "other"))
+    more = terms.join(synonyms.filter(F.col("weight") >= least), "term").select(key, "pos", place.alias("r"), F.col("other").alias("word")).filter(F.col("r") <= most)
+    every = terms.select(key, "pos", F.lit(0).alias("r"), F.col("term").alias("word")).unionByName(more)
+    return every.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "r", "word"))), lambda x: x["word"]), " ").alias("words"))
