@@ -168,19 +168,24 @@ def _keys(k: int, percent: int, sketch):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, doc_id) sorted so -> (lead, doc_id, shared): the first document of a key and each other one, with the number of such keys."""
-    last, first = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc = b.column(0).to_numpy(), b.column(2).to_numpy()
-        fresh = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
-        lead = np.concatenate(([first], doc[fresh]))[np.cumsum(fresh)]
-        last, first = key[-1], lead[-1]
-        apart = lead != doc
-        pairs = pa.table({"lead": lead[apart], "doc_id": doc[apart]}).group_by(["lead", "doc_id"]).aggregate([([], "count_all")])
-        yield from pairs.select(["lead", "doc_id", "count_all"]).rename_columns(["lead", "doc_id", "shared"]).combine_chunks().to_batches()
+def _meet(percent: int):
+    """Rows (key, n, doc_id) sorted so -> (lead, doc_id, shared): the first document of a key, or after a gap that no link spans, and each other one, with the number of such keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_n, first = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n, doc = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
+            before = np.concatenate(([last_n], n[:-1]))
+            fresh = np.concatenate(([key[0] != last], key[1:] != key[:-1])) | (percent * n > 100 * before)
+            lead = np.concatenate(([first], doc[fresh]))[np.cumsum(fresh)]
+            last, last_n, first = key[-1], n[-1], lead[-1]
+            apart = lead != doc
+            pairs = pa.table({"lead": lead[apart], "doc_id": doc[apart]}).group_by(["lead", "doc_id"]).aggregate([([], "count_all")])
+            yield from pairs.select(["lead", "doc_id", "count_all"]).rename_columns(["lead", "doc_id", "shared"]).combine_chunks().to_batches()
+
+    return run
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -320,7 +325,7 @@ def leads(given: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """lead, doc_id (classes), shared (keys, about), n (of doc_id): every two sets that link are in one group of a lead, itself included."""
     sketch = given.sparkSession.sparkContext.broadcast(rarity(given, k))
     rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, sketch), "key long, n int, doc_id long")
-    met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, "lead long, doc_id long, shared long")
+    met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet(percent), "lead long, doc_id long, shared long")
     met = durable(met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared")))
     classes = own.select(F.col("doc_id").alias("id"), "n", "rep")
     met = met.join(classes, F.col("doc_id") == F.col("id")).select("lead", F.col("rep").alias("doc_id"), "shared", "n")
