@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Letters and their plain forms, patterns of personal data.
@@ -110,3 +111,26 @@ def first_matching(x: Column, patterns: dict[str, str], rest: str) -> Column:
     for name, pattern in reversed(patterns.items()):
         out = F.when(x.rlike(pattern), name).otherwise(out)
     return out
+
+
+def sections_by(df: DataFrame, key: str, text: str, heading: Column) -> DataFrame:
+    """key, line, start, stop of each line (column `line`) that is a heading, up to the next one or the end, counted in characters."""
+    lines = df.filter(F.col(text).isNotNull()).select(key, F.length(text).cast("long").alias("size_"), F.posexplode(F.split(text, "\n")).alias("i_", "line"))
+    upto = W.partitionBy(key).orderBy("i_")
+    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return placed.filter(heading).withColumn("stop", F.coalesce(F.lead("start").over(W.partitionBy(key).orderBy("start")), F.col("size_"))).drop("size_", "i_")
+
+
+def legal_numbers(x: Column) -> dict[str, Column]:
+    """Mentions of laws, articles, cases (esas and karar numbers) and gazettes."""
+    law = r"[0-9]{3,5} +sayılı"
+    case_no = F.concat_ws(" ", F.regexp_extract(x, r"E[.] *No: *([0-9]{4}/[0-9]+)", 1), F.regexp_extract(x, r"K[.] *No: *([0-9]{4}/[0-9]+)", 1))
+    return {
+        "law": F.get(F.regexp_extract_all(x, F.lit(law), F.lit(0)), 0), "article": F.regexp_extract(x, r"Madde +([0-9]+)", 1), "case_no": case_no,
+        "gazette": F.regexp_extract(x, r"RG No: *([0-9]+)", 1), "is_law": x.rlike(law), "is_court": x.rlike("Yargıtay|Danıştay"),
+    }
+
+
+def entities(x: Column) -> Column:
+    """The three character references that markup always needs, put back."""
+    return F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
