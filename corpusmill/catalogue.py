@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import activity, corpus, retrieval, services, texts  # noqa: F401  they register their queries
+from corpusmill.plans import activity, corpus, graphs, retrieval, services, texts  # noqa: F401  they register their queries
 from corpusmill.plans.registry import QUERIES, SQL, Query
 
 

@@ -1,8 +1,8 @@
-"""Graphs as edge tables (src, dst)."""
+"""Graphs as edge tables (src, dst). Levels are joins; lineage is cut every few of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.session import durable
@@ -21,8 +21,73 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, level, before: as reach, with the smallest node from which a shortest path comes."""
+    found = durable(reach(edges, starts, depth))
+    last = found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("level"))
+    steps = last.join(edges, "src").select(F.col("dst").alias("node"), "level", "src").groupBy("node", "level").agg(F.min("src").alias("before"))
+    return found.join(steps, ["node", "level"], "left")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, n_out, n_in: distinct neighbours either way."""
     pairs = edges.select("src", "dst").distinct()
     sides = pairs.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(pairs.select("dst", F.lit(0), F.lit(1)))
     return sides.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def chain_depths(edges: DataFrame, limit: int = 50) -> DataFrame:
+    """node, depth: nodes of the longest chain of references that begins at each node (1 without any), up to limit; edges without cycles."""
+    pairs = edges.select("src", "dst").filter("src <> dst").distinct()
+    front = durable(pairs.select(F.col("dst").alias("node")).distinct().join(pairs.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(1)))
+    every = front
+    for _ in range(limit):
+        front = durable(front.join(pairs, front["node"] == pairs["dst"]).select(F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
+        if front.isEmpty():
+            break
+        every = every.unionByName(front)
+    return every.groupBy("node").agg(F.max("depth").alias("depth"))
+
+
+def cyclic(edges: DataFrame, limit: int = 50) -> DataFrame:
+    """node, length: nodes that lead back to themselves, with the fewest edges that do, up to limit.
+
+    Nodes without an edge in or out are taken off first, as often as any is left.
+    """
+    pairs = durable(edges.select("src", "dst").distinct())
+    for _ in range(limit):
+        ends = pairs.select(F.col("src").alias("n")).join(pairs.select(F.col("dst").alias("n")), "n", "left_semi").distinct()
+        kept = durable(pairs.join(ends.select(F.col("n").alias("src")), "src", "left_semi").join(ends.select(F.col("n").alias("dst")), "dst", "left_semi"))
+        if kept.count() == pairs.count():
+            break
+        pairs = kept
+    front = pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    seen, length = None, 1
+    found = front.filter("start = node").select(F.col("start").alias("node"), F.lit(1).alias("length"))
+    seen = durable(front)
+    front = seen
+    while length < limit and not front.isEmpty():
+        length += 1
+        step = front.join(pairs, front["node"] == pairs["src"]).select("start", F.col("dst").alias("node")).distinct()
+        front = durable(step.join(seen, ["start", "node"], "left_anti"))
+        found = found.unionByName(front.filter("start = node").select(F.col("start").alias("node"), F.lit(length).alias("length")))
+        seen = seen.unionByName(front)
+    return found
+
+
+def trust(edges: DataFrame, nodes: DataFrame, terminal: Column, depth: int = 5) -> DataFrame:
+    """node, trust, n_paths: the mean, over all simple paths of at most depth edges to a terminal node, of the product of the nodes' credibility (node, credibility).
+
+    A node without such a path has its own credibility. Paths are rows; each edge is
+    one join, and a path never comes to a node again.
+    """
+    score = nodes.select(F.col("node").alias("dst"), F.col("credibility").alias("more"), terminal.alias("ends"))
+    front = nodes.select("node", F.array("node").alias("path"), F.col("credibility").alias("product"), F.col("node").alias("at"), terminal.alias("ends"))
+    done = front.filter("ends").select("node", "product")
+    steps = edges.select("src", "dst").distinct().join(score, "dst")
+    for _ in range(depth):
+        met = front.join(steps.withColumnRenamed("ends", "now"), F.col("at") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        front = durable(met.select("node", F.concat("path", F.array("dst")).alias("path"), (F.col("product") * F.col("more")).alias("product"), F.col("dst").alias("at"), F.col("now").alias("ends")))
+        done = done.unionByName(front.filter("ends").select("node", "product"))
+    means = done.groupBy("node").agg(F.avg("product").alias("mean"), F.count("*").alias("n_paths"))
+    return nodes.join(means, "node", "left").select("node", F.coalesce("mean", "credibility").alias("trust"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
