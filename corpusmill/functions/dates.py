@@ -39,3 +39,19 @@ def active_on(day: Column, published: Column, effective: Column, revoked: Column
 def issues(checks: dict[str, Column]) -> Column:
     """The names of the checks that hold, as an array."""
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())
+
+
+def gazette(d: Column) -> Column:
+    return F.date_format(d, "dd.MM.yyyy")
+
+
+def mentions(x: Column) -> Column:
+    """Dates in a text, as written: those with a month's name first, then numeric ones."""
+    named = "[0-9]{1,2} (?:" + "|".join(m.capitalize() for m in MONTHS) + ") [0-9]{4}"
+    return F.concat(F.regexp_extract_all(x, F.lit(named), F.lit(0)), F.regexp_extract_all(x, F.lit(r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}"), F.lit(0)))
+
+
+def date_range(x: Column) -> Column:
+    """Two dates around a dash: a struct of start and end."""
+    parts = F.split(x, " +[-–] +")
+    return F.struct(parse_date(F.get(parts, 0)).alias("start"), parse_date(F.get(parts, 1)).alias("end"))

@@ -62,3 +62,14 @@ def modal_share(df: DataFrame, by: list[str], kind: str) -> DataFrame:
     """by, n, and the share of the most frequent kind."""
     each = df.groupBy(*by, kind).agg(F.count("*").alias("c_"))
     return each.groupBy(*by).agg(F.sum("c_").alias("n"), F.round(F.max("c_") / F.sum("c_"), 6).alias("modal_share"))
+
+
+def baseline(df: DataFrame, by: str, value: str, places: int = 6) -> DataFrame:
+    """by, n, mean, deviation (sample), least, most."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), places).alias("mean"), F.round(F.stddev_samp(value), places).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def retries(df: DataFrame, tries: str, ts: str, now: str, most: int = 5, days: int = 7) -> DataFrame:
+    """Adds wait_minutes (2 to the number of tries, 60 at most) and retry: fewer than `most` tries, not older than `days`."""
+    wait = F.least(F.pow(F.lit(2.0), F.col(tries)), F.lit(60.0)).cast("int")
+    return df.withColumns({"wait_minutes": wait, "retry": (F.col(tries) < most) & (F.col(ts) + F.expr(f"INTERVAL {days} DAYS") > F.col(now))})
