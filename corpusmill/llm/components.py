@@ -38,7 +38,7 @@ def _hang(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
     least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    met = told(around, least, ["x"], "y")
+    met = around.join(least.withColumnRenamed("x", "at"), F.col("x") == F.col("at"))
     out = met.filter("y > x").select("y", "m") if large else met.select("y", "m").union(least.select("x", "m"))
     return out.toDF("u", "v").filter("u <> v").distinct()
 

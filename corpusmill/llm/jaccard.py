@@ -13,13 +13,15 @@ rarest first: a fixed number of counters, added up over all documents, so that
 lines and passages that many documents share are hardly ever keys. The sketch
 decides only which documents are compared, never whether they link.
 
-Of the documents that share a key the smallest leads; each document is told its
-leads. In the first pass every document is in one tile, that of the lead with which
-it shares most keys; groups beyond a tile are dealt over several, the lead in each,
-and then dealt anew. Then only groups in which verified links leave more than one component go through
-tiles again, those apart from their lead against all others. No pair of documents
-is ever a row: tiles return the edges of their own spanning forest, and only
-verified links are closed over.
+Documents of sizes that can link, joined by keys, directly or through others, form
+clusters; a cluster is one tile, or beyond TILE_SETS sets a grid of tiles over its
+size bands. Clusters beyond GRID_TILES tiles (where the sketch tells little apart)
+are not trusted: of the documents that share a key the smallest leads, each document
+is in the tile of the lead with which it shares most keys, groups beyond a tile are
+dealt over several, the lead in each, and dealt anew, and then only groups in which
+verified links leave more than one component go through tiles again, those apart
+from their lead against all others. No pair of documents is ever a row: tiles return
+the edges of their own spanning forest.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are linked with nothing; texts of fewer than k words have their
@@ -51,8 +53,12 @@ SLOTS, PAGES = 1 << 23, 64
 SLOT_SHIFT = np.uint64(64 - 23)
 #: Marks by which a task tells elements that it met before.
 MARKS = 1 << 25
+#: Clusters of more tiles than this go through leads instead of a grid.
+GRID_TILES = 64
 #: Ids of sets to look up are broadcast up to this number; beyond it the lookup is a shuffled join.
 BROADCAST_IDS = 500_000
+#: Clusters beyond one tile, with their bands (some tens of numbers), are broadcast up to this number; beyond it they meet documents by a salted key.
+BROADCAST_CLUSTERS, SALTS = 10_000, 64
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -250,6 +256,49 @@ def _tiles(percent: int):
     return run
 
 
+def _grid(members: DataFrame, percent: int, tile_sets: int) -> DataFrame:
+    """doc_id, n, cluster -> tile, side, label, doc_id: one tile for a small cluster, else cells of its size bands, paired."""
+    # fine bands: sets that link are in the same or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * 1.0001)))
+    cells = (
+        members.withColumn("band", band)
+        .groupBy("cluster", "band")
+        .agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        .withColumn("cells", F.greatest(F.ceil(F.col("c") / tile_sets), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int"))
+    )
+    whole = cells.groupBy("cluster").agg(F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("of"))
+    # only clusters beyond one tile need their bands, and those are few: no document is dealt by its cluster
+    large = durable(whole.filter((F.col("all_c") > tile_sets) | (F.col("all_s") > TILE_SHINGLES)).select(F.col("cluster").alias("large"), "of"))
+    near = lambda b: F.coalesce(F.element_at("of", b), F.lit(0))
+    banded = members.withColumn("band", band)
+    if large.count() <= BROADCAST_CLUSTERS:
+        spot = banded.join(F.broadcast(large), F.col("cluster") == F.col("large"), "left")
+    else:
+        salted = large.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        spot = banded.join(salted, (F.col("cluster") == F.col("large")) & (spread == F.col("salt_")), "left")
+    own = near(F.col("band"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.greatest(own, F.lit(1)))
+    name = lambda *x: F.concat_ws("/", F.col("cluster").cast("string"), *[y.cast("string") for y in x])
+    upto = lambda hi: F.when(hi > 0, F.sequence(F.lit(0), hi - 1)).otherwise(F.array().cast("array<int>"))
+    b = F.col("band")
+    same = F.transform(
+        upto(own.cast("int")),
+        lambda j: F.struct(
+            name(b, F.least(j, F.col("cell")), b, F.greatest(j, F.col("cell"))).alias("tile"),
+            F.when(j == F.col("cell"), -1).when(j > F.col("cell"), 0).otherwise(1).alias("side"),
+        ),
+    )
+    above = F.transform(upto(near(b + 1).cast("int")), lambda j: F.struct(name(b, F.col("cell"), b + 1, j).alias("tile"), F.lit(0).alias("side")))
+    below = F.transform(upto(near(b - 1).cast("int")), lambda j: F.struct(name(b - 1, j, b, F.col("cell")).alias("tile"), F.lit(1).alias("side")))
+    one = F.array(F.struct(name().alias("tile"), F.lit(-1).alias("side")))
+    return (
+        spot.withColumn("cell", cell.cast("int"))
+        .select("doc_id", F.explode(F.when(F.col("large").isNull(), one).otherwise(F.concat(same, above, below))).alias("t"))
+        .select("t.tile", "t.side", F.col("doc_id").alias("label"), "doc_id")
+    )
+
+
 def _cells(count: Column, shingles: Column, tile_sets: int) -> Column:
     """Into how many parts a group is dealt."""
     return F.greatest(F.ceil(count / tile_sets), F.ceil(shingles / TILE_SHINGLES)).cast("int")
@@ -321,18 +370,35 @@ def _links(given: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFra
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "u long, v long")
 
 
-def leads(given: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """lead, doc_id (classes), shared (keys, about), n (of doc_id): every two sets that link are in one group of a lead, itself included."""
+def meetings(given: DataFrame, k: int, percent: int) -> DataFrame:
+    """lead, doc_id, shared (keys): every two sets that link, and are not equal, are in one group of a lead, itself included."""
     sketch = given.sparkSession.sparkContext.broadcast(rarity(given, k))
+    # keys are several times the size of what names a set: they are made from the texts again rather than kept
     rows = given.filter("doc_id is not null").mapInArrow(_keys(k, percent, sketch), "key long, n int, doc_id long")
     met = rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet(percent), "lead long, doc_id long, shared long")
-    met = durable(met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared")))
+    return durable(met.groupBy("lead", "doc_id").agg(F.sum("shared").alias("shared")))
+
+
+def _leads(met: DataFrame, own: DataFrame, within: DataFrame) -> DataFrame:
+    """lead, doc_id (classes), shared, n (of doc_id) of what meets among the documents (doc_id) of within."""
     classes = own.select(F.col("doc_id").alias("id"), "n", "rep")
-    met = met.join(classes, F.col("doc_id") == F.col("id")).select("lead", F.col("rep").alias("doc_id"), "shared", "n")
-    ahead = told(met, classes.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), ["lead"], "doc_id")
+    some = met.join(within, "doc_id", "left_semi").join(classes, F.col("doc_id") == F.col("id")).select("lead", F.col("rep").alias("doc_id"), "shared", "n")
+    ahead = told(some, classes.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), ["lead"], "doc_id")
     return ahead.filter("lead_rep <> doc_id").groupBy(F.col("lead_rep").alias("lead"), "doc_id", "n").agg(F.sum("shared").alias("shared"))
 
 
+def _large(given: DataFrame, led: DataFrame, k: int, percent: int, tile_sets: int) -> DataFrame:
+    """Edges (u, v) of very large clusters, closed over verified links only."""
+    led = durable(led)
+    first, again = _near_leads(led, tile_sets)
+    links = durable(_links(given, durable(first), k, percent))
+    known = connected_components(links).toDF("doc_id", "known")
+    again = durable(again.join(known, "doc_id", "left").select("tile", "side", F.coalesce("known", "label").alias("label"), "doc_id"))
+    links = links.union(_links(given, again, k, percent))
+    near = durable(connected_components(links).toDF("doc_id", "label"))
+    return near.toDF("u", "v").union(_links(given, durable(_apart(led, near, tile_sets)), k, percent))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT, tile_sets: int = TILE_SETS
 ) -> DataFrame:
@@ -347,21 +413,21 @@ def near_duplicates(
     classes = named.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
     own = durable(told(named, classes, ["n", "a", "b"], "doc_id").select("doc_id", "n", "rep"))
 
-    # keys are several times the size of what names a set: they are made from the texts again rather than kept
-    led = durable(leads(given, own, k, percent))
-    first, again = _near_leads(led, tile_sets)
-    links = durable(_links(given, durable(first), k, percent))
-    again = durable(again)
-    if not again.isEmpty():
-        known = connected_components(links).toDF("doc_id", "known")
-        again = again.join(known, "doc_id", "left").select("tile", "side", F.coalesce("known", "label").alias("label"), "doc_id")
-        links = links.union(_links(given, durable(again), k, percent))
-    near = durable(connected_components(links).toDF("doc_id", "label"))
-    further = _links(given, durable(_apart(led, near, tile_sets)), k, percent)
+    met = meetings(given, k, percent)
+    clusters = connected_components(met.toDF("u", "v", "shared").select("u", "v")).toDF("doc_id", "cluster")
+    members = durable(clusters.join(own, "doc_id").select("cluster", F.col("doc_id").alias("id"), F.col("rep").alias("doc_id"), "n"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    large = durable(sizes.filter((F.col("c") > GRID_TILES * tile_sets) | (F.col("s") > GRID_TILES * TILE_SHINGLES)).select("cluster"))
+    if large.isEmpty():
+        links = _links(given, durable(_grid(members.select("cluster", "doc_id", "n").distinct(), percent, tile_sets)), k, percent)
+    else:
+        small, big = members.join(F.broadcast(large), "cluster", "left_anti"), members.join(F.broadcast(large), "cluster", "left_semi")
+        links = _links(given, durable(_grid(small.select("cluster", "doc_id", "n").distinct(), percent, tile_sets)), k, percent)
+        links = links.union(_large(given, _leads(met, own, big.select(F.col("id").alias("doc_id"))), k, percent, tile_sets))
     # a doc_id of rows with several sets holds the classes of those sets together
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("u"))
     tied = own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).join(several, "u", "left_semi")
-    ends = connected_components(near.toDF("u", "v").union(further).union(tied)).toDF("rep", "component")
+    ends = connected_components(links.union(tied)).toDF("rep", "component")
     final = (
         told(own, ends, ["rep"], "doc_id", "left")
         .select("doc_id", F.coalesce("component", "rep").alias("component"))

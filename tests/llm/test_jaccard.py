@@ -44,9 +44,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,tile,ids", [(4, 85, 1024, 500_000), (4, 85, 4, 500_000), (4, 85, 4, 0), (5, 80, 1024, 500_000), (2, 80, 3, 500_000)])
-def test_against_brute_force(spark, monkeypatch, k, percent, tile, ids):
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+@pytest.mark.parametrize("k,percent,tile,told,grid", [(4, 85, 1024, 10_000, 64), (4, 85, 4, 10_000, 64), (4, 85, 4, 0, 64), (4, 85, 4, 10_000, 1), (5, 80, 1024, 10_000, 64), (2, 80, 3, 10_000, 1)])
+def test_against_brute_force(spark, monkeypatch, k, percent, tile, told, grid):
+    monkeypatch.setattr(jaccard, "BROADCAST_CLUSTERS", told)
+    monkeypatch.setattr(jaccard, "GRID_TILES", grid)
     rows = corpus(k * tile, 220)
     rows += [(1, None), (2, ""), (4, " \n"), (5, "one"), (7, "ONE"), (8, rows[3][1]), (10, rows[3][1].upper()), (rows[5][0], rows[5][1]), (rows[6][0], rows[9][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(3)
@@ -87,11 +88,11 @@ def test_shared_passages_make_no_groups(spark, monkeypatch):
         rows.append((i, " ".join(own[:at] + passage + own[at:])))
     rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    own = docs.select("doc_id", F.lit(170).cast("long").alias("n"), F.col("doc_id").alias("rep"))
-    led = jaccard.leads(docs, own, 5, 80).groupBy("lead").count().collect()
+    led = jaccard.meetings(docs, 5, 80).groupBy("lead").count().collect()
     assert len(led) == 20 and max(r["count"] for r in led) == 1
-    # a sketch that tells nothing apart: large groups, the same links
+    # a sketch that tells nothing apart: one large cluster, the same links
     monkeypatch.setattr(jaccard, "rarity", lambda *_: np.zeros(jaccard.SLOTS, np.uint8))
+    monkeypatch.setattr(jaccard, "GRID_TILES", 2)
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, tile_sets=64).collect()}
     assert got == {i: i % 1000 for i, _ in rows}
 
