@@ -235,6 +235,8 @@ def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", most_
             langs = np.array(t.langs, object)[bits.argmin(axis=1)]
         return pa.array(np.where(keep, langs, None).tolist(), pa.string())
 
-    known = docs.select(F.struct("*").alias("row_"), found(F.col(text_col)).alias("found_")).filter("found_ is not null")
+    # not to be run once for the filter and once more for its result
+    once = found.asNondeterministic()
+    known = docs.select(F.struct("*").alias("row_"), once(F.col(text_col)).alias("found_")).filter("found_ is not null")
     pick = lambda c: F.coalesce(f"row_.`{c}`", F.when(F.col("found_") != UNDETERMINED, F.col("found_"))) if c == lang_col else F.col(f"row_.`{c}`")
     return known.select(*[pick(c).alias(c) for c in docs.columns])
