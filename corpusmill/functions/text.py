@@ -40,7 +40,10 @@ def sentences(x: Column) -> Column:
 
 
 def mask_email(x: Column) -> Column:
-    return F.regexp_replace(x, r"([A-Za-z0-9._%+-]{1,3})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1***@$2")
+    # a match begins where a run of its letters does, or where the last match ended, and gives nothing back: each letter is looked at once
+    run = r"[A-Za-z0-9._%+-]"
+    masked = F.regexp_replace(x, rf"(?:\G|(?<!{run}))({run}{{1,3}}+){run}*+@([A-Za-z0-9.-]+\.[A-Za-z]{{2,}})", "$1***@$2")
+    return F.when(F.contains(x, F.lit("@")), masked).otherwise(x)
 
 
 def mask_ip(x: Column) -> Column:
