@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import anntree, langid, queries, toxicity
 
@@ -51,6 +52,25 @@ def test_odd_vectors_and_copies(spark, copies):
     assert anntree.search(few, few).count() == 6
 
 
+def test_recall_where_few_leaves_are_visited(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(120, 24))
+    rows = [(i, (centres[i % 120] + rng.normal(scale=0.2, size=24)).tolist()) for i in range(6000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    tree, visits = anntree.fit(v.select("vec_id", F.col("embedding").alias("v")), 5)
+    x = anntree._unit(np.array([r[1] for r in rows]))
+    sizes = np.bincount(tree.assign(x), minlength=tree.leaves)
+    scanned = np.mean([sizes[tree.visit(q, visits)].sum() for q in x[::50]]) / len(rows)
+    assert scanned < 0.35
+    got = {}
+    for r in anntree.search(v, v.filter("vec_id % 50 = 0"), k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = x @ x.T
+    np.fill_diagonal(near, -1)
+    want = {q: set(np.argsort(-near[q])[:5].tolist()) for q in got}
+    assert len(got) == 120 and sum(len(got[q] & want[q]) for q in got) >= 0.9 * 600
+
+
 def test_search_goes_on_past_small_leaves(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, (np.eye(8)[i % 8] + rng.normal(scale=0.01, size=8)).tolist()) for i in range(800)]
