@@ -10,25 +10,28 @@ from corpusmill.functions.text import WORD, tokens
 
 #: Vectors in a block of exact search, and queries that meet a block in one task, about.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 512
+#: Terms of all queries that are broadcast at most; beyond it they meet documents by a shuffled join.
+BROADCAST_TERMS = 1_000_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, pattern: str = WORD) -> DataFrame:
     """item_id, doc_id, score, rank: the k best of docs (doc_id, text) for each of queries (item_id, text).
 
-    Only terms that a query has are counted. Queries' terms are broadcast, and a
-    document's terms meet in one task, so its scores for all queries need no shuffle
-    before the k best of a task are taken.
+    Only terms that a query has are counted. Up to BROADCAST_TERMS queries' terms are
+    broadcast, and a document's terms meet in one task, so its scores for all queries
+    need no shuffle before the k best of a task are taken.
     """
     asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text"), pattern))).alias("term"))
+    sent = F.broadcast if asked.count() <= BROADCAST_TERMS else lambda x: x
     terms = docs.select("doc_id", tokens(F.col("text"), pattern).alias("t")).withColumn("size", F.size("t"))
     total = terms.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # one row
-    found = terms.select("doc_id", "size", F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").repartition("doc_id")
+    found = terms.select("doc_id", "size", F.explode("t").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi").repartition("doc_id")
     tf = found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(total)).select("doc_id", "term", part.alias("part"))
-    scored = weighed.join(F.broadcast(asked), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    weighed = tf.join(sent(df), "term").join(F.broadcast(total)).select("doc_id", "term", part.alias("part"))
+    scored = weighed.join(sent(asked), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     best = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", best).filter(F.col("rank") <= k)
 

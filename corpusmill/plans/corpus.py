@@ -105,8 +105,8 @@ def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BM25 = """
-WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{6,}') AS t FROM documents WHERE text IS NOT NULL),
-asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark),
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents WHERE text IS NOT NULL),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark),
 total AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM docs),
 tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS size, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -115,33 +115,19 @@ scored AS (SELECT item_id, doc_id, round(sum(part), 6) AS score FROM part JOIN a
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= 10"""
 
 
-@query(_BM25)
+@query(_BM25.replace("{WORD}", text.WORD))
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null")
-    return search.bm25(docs, table(spark, d, "benchmark"), 10, pattern="[a-z]{6,}").select("item_id", "doc_id", "score")
-
-
-@query(_BM25.replace("[a-z]{6,}", text.WORD))
-def bm25_all_words(spark: SparkSession, d: str) -> DataFrame:
-    """As bm25_top10, over every word and number of any script."""
+    """BM25 of every benchmark item over all documents, by every word and number of any script."""
     docs = table(spark, d, "documents").filter("text is not null")
     return search.bm25(docs, table(spark, d, "benchmark"), 10).select("item_id", "doc_id", "score")
 
 
-@query("SELECT vec_id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0) ORDER BY score DESC, vec_id LIMIT 10")
-def cosine_top10(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    one = v.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    near = v.filter("vec_id <> 0").join(F.broadcast(one)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return near.orderBy(F.desc("score"), "vec_id").limit(10)
-
-
 @query(
     "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score "
     "FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 AND e.embedding IS NOT NULL AND q.embedding IS NOT NULL)) WHERE r <= 10"
 )
-def cosine_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    """As cosine_top10, for every hundredth id."""
+def cosine_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of all vectors, exactly, for every id divisible by 100."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     return search.nearest(v, v.filter("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "score")
 

@@ -100,7 +100,7 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert all(r.errors > 0.05 * r.n for r in spark.read.parquet(str(tmp_path / "rates")).collect())
 
 
-def test_bm25_of_short_and_accented_words(spark):
+def test_bm25_of_short_and_accented_words(spark, monkeypatch):
     docs = [(1, "où été 7 le 7"), (2, "Der Bär"), (3, "le le chat"), (4, None), (5, ""), (6, "slow, 日本 bär")]
     asked = [(10, "Été, le 7!"), (11, "bär"), (12, "BAR b r t"), (13, "日本")]
     words = lambda t: re.findall(r"\w+", (t or "").lower())
@@ -112,8 +112,10 @@ def test_bm25_of_short_and_accented_words(spark):
                 n = sum(x in v for v in sizes.values())
                 want[q, i] = want.get((q, i), 0) + math.log((len(sizes) - n + 0.5) / (n + 0.5) + 1) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean))
     frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
-    got = {(r.item_id, r.doc_id): r.score for r in search.bm25(frame(docs, "doc_id").filter("text is not null"), frame(asked, "item_id")).collect()}
-    assert got == pytest.approx(want, abs=1e-6) and {i for i, _ in got} == {10, 11, 13}
+    for most in (search.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(search, "BROADCAST_TERMS", most)
+        got = {(r.item_id, r.doc_id): r.score for r in search.bm25(frame(docs, "doc_id").filter("text is not null"), frame(asked, "item_id")).collect()}
+        assert got == pytest.approx(want, abs=1e-6) and {i for i, _ in got} == {10, 11, 13}
 
 
 @pytest.mark.parametrize("block", [7, 4096])
@@ -129,5 +131,5 @@ def test_exact_search_of_every_query(spark, block):
             near = sorted((-round(sum(a * b for a, b in zip(x, y)) / size(x) / size(y), 6), i) for i, y in rows if i != q)[:10]
             assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == near
     assert {r.query_id for r in got} == {20, 40, 100}
-    every = catalogue.queries()["cosine_all_queries"](spark, SF).groupBy("query_id").count().collect()
+    every = catalogue.queries()["cosine_top10"](spark, SF).groupBy("query_id").count().collect()
     assert sorted(map(tuple, every)) == [(i, 10) for i in range(0, 500, 100)]
