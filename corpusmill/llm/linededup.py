@@ -3,7 +3,8 @@
 Documents are grouped by host. A line's frequency is the number of the host's
 documents that contain it, over all documents of the host; lines above
 `most_share` that at least `least_pages` documents contain are boilerplate and are
-dropped from every document of the host. The share bounds the boilerplate of a
+dropped from every document of the host. On hosts of fewer documents a line must be
+in all of them, and in SMALL_HOST at least. The share bounds the boilerplate of a
 host: at most 1/most_share lines for each line of its mean document.
 
 Lines are counted by 64-bit hashes, first within map tasks, so a host with a
@@ -25,6 +26,8 @@ from corpusmill.session import durable
 
 MOST_SHARE = 0.02
 LEAST_PAGES = 5
+#: Hosts of fewer documents have no boilerplate: two copies of one text are not a template.
+SMALL_HOST = 3
 #: Boilerplate lines broadcast at most; beyond that hosts and documents are joined by a salted key.
 BROADCAST_LINES = 200_000
 SALTS = 64
@@ -39,8 +42,9 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
     given = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = given.groupBy("host").agg(F.count("*").alias("host_pages"))
     hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    pages = given.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    return pages.join(totals.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_"))).filter(F.col("pages") > F.lit(most_share) * F.col("host_pages")).drop("host_")
+    pages = given.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min(least_pages, SMALL_HOST))
+    enough = F.col("pages") >= F.least(F.lit(least_pages), F.greatest(F.col("host_pages"), F.lit(SMALL_HOST)))
+    return pages.join(totals.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_"))).filter(enough & (F.col("pages") > F.lit(most_share) * F.col("host_pages"))).drop("host_")
 
 
 def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", most_share: float = MOST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:

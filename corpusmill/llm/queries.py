@@ -129,7 +129,7 @@ WITH lines AS (SELECT source, doc_id, text, string_split(text, chr(10)) AS l FRO
 totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
 each AS (SELECT source, unnest(list_distinct(l)) AS line FROM lines),
 bad AS (SELECT e.source, e.line FROM each e JOIN totals t ON e.source IS NOT DISTINCT FROM t.source WHERE trim(e.line, ' ') <> ''
-  GROUP BY e.source, e.line, t.host_pages HAVING count(*) >= {linededup.LEAST_PAGES} AND count(*) > {linededup.MOST_SHARE} * t.host_pages),
+  GROUP BY e.source, e.line, t.host_pages HAVING count(*) >= least({linededup.LEAST_PAGES}, greatest(t.host_pages, {linededup.SMALL_HOST})) AND count(*) > {linededup.MOST_SHARE} * t.host_pages),
 hosts AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 cut AS (SELECT d.doc_id, d.source, d.l, [x FOR x IN d.l IF NOT list_contains(coalesce(h.bad, []), x)] AS kept FROM lines d LEFT JOIN hosts h ON d.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, source, coalesce(len(l) - len(kept), 0)::BIGINT AS n_dropped, length(array_to_string(kept, chr(10)))::BIGINT AS n_chars,

@@ -1,9 +1,11 @@
 """Operators 2 and 3, and the pipeline, against plain Python."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from corpusmill.llm import jaccard, langid, linededup, mixing, queries
@@ -68,13 +70,14 @@ def boilerplate(rows, share, least):
     for _, t, s in rows:
         pages[s] += 1
         lines[s].update({x for x in (t or "").split("\n") if x.strip(" ")} if t is not None else set())
-    bad = {s: {x for x, c in lines[s].items() if c >= least and c > share * pages[s]} for s in pages}
+    bad = {s: {x for x, c in lines[s].items() if c >= min(least, max(pages[s], 3)) and c > share * pages[s]} for s in pages}
     return [None if t is None else "\n".join(x for x in t.split("\n") if x not in bad[s]) for _, t, s in rows]
 
 
 def test_lines(spark):
     rows = [(i, f"menu\nstory {i}\n\n  \nfooter {i % 3}", "a" if i % 4 else None) for i in range(40)]
     rows += [(50, None, "a"), (51, "", "b"), (52, "menu\nmenu", "a"), (52, "menu\nmenu", "a"), (53, "menu", "z"), (54, "long " * 50_000, "a")]
+    rows += [(60 + i, f"nav\npage {i}\n" + "other\n" * (i % 3), "of three" if i < 3 else "of two") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("doc_id", "line").repartition(3)
     want = sorted(zip([r[0] for r in rows], map(str, boilerplate(rows, 0.5, 5))))
     for limit in (200_000, 0):
@@ -84,6 +87,7 @@ def test_lines(spark):
         finally:
             linededup.BROADCAST_LINES = old
         assert sorted((r.line, str(r.text)) for r in got) == want
+    assert {r.line: r.n_dropped for r in got if r.line >= 60} == {60: 1, 61: 1, 62: 1, 63: 0, 64: 0}
     assert any(r.n_dropped for r in got) and linededup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
@@ -115,7 +119,11 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     for r in mix:
         words[r.doc_id] += len(WORD.findall(r.text or ""))
     assert {i: n for i, n in taken.items() if n} == dict(words)
-    assert len(ids) == len(mix)
+    tokens = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
+    want = [(r.doc_id, tokens.encode(r.text or "") + [tokens.eos_id()]) for r in mix]
+    assert sorted((r.doc_id, list(r.ids)) for r in ids) == sorted(want)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(r.ids), digest(" ".join(map(str, r.ids))), digest(tokens.decode(list(r.ids)))) for r in ids)
     assert len(p.run(spark, SF).collect()) == len(ids)
 
 
