@@ -104,7 +104,9 @@ def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     return joins.merge_three_way(side(1), side(2), side(3), "o_orderkey", "v").select("o_orderkey", "conflict")
 
 
-_BM25 = """
+def bm25_sql(word: str = text.WORD) -> str:
+    """The ten best documents of each benchmark item by BM25 over the matches of `word` (an expression without quotes)."""
+    return """
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents WHERE text IS NOT NULL),
 asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark),
 total AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM docs),
@@ -112,10 +114,10 @@ tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 part AS (SELECT doc_id, term, ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean)) AS part FROM tf JOIN df USING (term), total),
 scored AS (SELECT item_id, doc_id, round(sum(part), 6) AS score FROM part JOIN asked USING (term) GROUP BY ALL)
-SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= 10"""
+SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= 10""".replace("{WORD}", word)
 
 
-@query(_BM25.replace("{WORD}", text.WORD))
+@query(bm25_sql())
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of every benchmark item over all documents, by every word and number of any script."""
     docs = table(spark, d, "documents").filter("text is not null")

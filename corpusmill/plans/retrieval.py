@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions import scores as S
 from corpusmill.functions import text
 from corpusmill.operators import joins, search
-from corpusmill.plans.corpus import _BM25
+from corpusmill.plans.corpus import bm25_sql
 from corpusmill.plans.registry import query
 from corpusmill.session import table
 
-_CANDIDATES = f"cand AS ({_BM25.replace('[a-z]{6,}', text.WORD)})"
+_CANDIDATES = f"cand AS ({bm25_sql()})"
 _PAIRS = f"WITH {_CANDIDATES}, pair AS (SELECT c.item_id, c.doc_id, c.score, b.text AS asked, d.text AS text, d.source, d.lang FROM cand c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))"
 _W = "regexp_extract_all(lower({}), '[^\\t-\\r ]+')"
 _STOP = "(" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + ")"

@@ -25,6 +25,9 @@ def duck():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
+#: Queries that find nothing at this size.
+MAY_BE_EMPTY = {"failed_threshold_15min", "sequence_gaps", "rate_limited", "numbering_issues"}
+
 
 def plain(rows):
     each = lambda v: f"{float(v):.5f}" if isinstance(v, float) else str(v)
@@ -36,7 +39,9 @@ def test_query_and_sql_agree(spark, duck, name):
     got = catalogue.queries()[name](spark, SF)
     rel = duck.sql(catalogue.oracle_sql()[name])
     assert sorted(got.columns) == sorted(rel.columns)
-    assert plain(got.select(*rel.columns).collect()) == plain(rel.fetchall())
+    want = rel.fetchall()
+    assert plain(got.select(*rel.columns).collect()) == plain(want)
+    assert want or name in MAY_BE_EMPTY
 
 
 def one(spark, value, column):
