@@ -19,7 +19,8 @@ CHUNK_BYTES = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
+EXACT = np.arange(256, dtype=np.uint8)
+LOWER = EXACT.copy()
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Everything but ASCII letters, digits and bytes of longer characters.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -62,12 +63,20 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word after lower-casing A-Z, number of words of each row)."""
+def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power_table(BASE, len(data))[: len(data)], out=sums[1:])
+    hashed = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
+    return mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word after folding bytes, number of words of each row); by default A-Z become lower case."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
-    data = LOWER[data]
+    data = fold[data]
     gap = gaps[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets[:-1]] = True
@@ -78,11 +87,8 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE) -> tu
     after = np.empty(len(data), bool)
     after[-1], after[:-1] = True, gap[1:]
     ends = np.flatnonzero(~gap & (after | fresh[1:])) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(BASE, len(data))[: len(data)], out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data))[starts]
     per_row = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return mix(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), per_row
+    return ranges(data, starts, ends), per_row
 
 
 def shingles(hashed: np.ndarray, per_row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

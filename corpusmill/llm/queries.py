@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import anntree, fingerprint, jaccard, langid, linededup, mixing, piece_bpe, secretscan, toxicity, urlfilter
+from corpusmill.llm import anntree, convrepair, convtrie, fingerprint, jaccard, langid, linededup, mixing, piece_bpe, quality, secretscan, toxicity, urlfilter
 from corpusmill.session import ship, table
 
 MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,34 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), model_file())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    turns = convtrie.numbered(table(spark, sf_dir, "conversations"))
+    return convtrie.trie(convtrie.shared_heads(turns)).drop("a", "b")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.judge(docs, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def damaged(convs: DataFrame) -> DataFrame:
+    """The rows that op13 repairs: by a checksum of conversation and turn, some are gone, emptied, cut short, repeated, or the user's."""
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = (F.crc32(F.concat(some("conv_id"), F.lit(":"), some("turn")).cast("binary")) % 20).cast("int")
+    role = F.when(F.col("lot") == 4, "user").otherwise(some("role"))
+    text = F.when(F.col("lot") <= 1, "").when(F.col("lot") == 2, F.regexp_replace(some("text"), "[.!?]", "")).otherwise(some("text"))
+    copies = F.explode(F.when(F.col("lot") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    return convs.select("conv_id", "turn", "role", "text", lot.alias("lot")).select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("lot") == 0).alias("gone"), copies).drop("copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return convrepair.repair(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_source_mix, op3_line_dedup, op4_nearest, op5_secret_scan, op6_fingerprint, op7_toxicity, op8_language, op9_jaccard, op10_piece_bpe, pipeline)
+    own = (op1_url_filter, op2_source_mix, op3_line_dedup, op4_nearest, op5_secret_scan, op6_fingerprint, op7_toxicity, op8_language, op9_jaccard, op10_piece_bpe, op11_prefix_trie, op12_quality_rules, op13_structure_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -135,7 +163,24 @@ cut AS (SELECT d.doc_id, d.source, d.l, [x FOR x IN d.l IF NOT list_contains(coa
 SELECT doc_id, source, coalesce(len(l) - len(kept), 0)::BIGINT AS n_dropped, length(array_to_string(kept, chr(10)))::BIGINT AS n_chars,
   md5(array_to_string(kept, chr(10))) AS text_md5 FROM cut"""
 
+#: crc32 of a text's bytes (ASCII), by shifting bits.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(ch)::BIGINT FOR ch IN string_split({}, '')]), lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+
+_TRIE_SQL = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'m': md5(length(r)::VARCHAR || ':' || r || t), 'w': len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))}} ORDER BY k) AS l FROM turns GROUP BY conv_id),
+asked AS (SELECT conv_id, l, ({_CRC.format("conv_id::VARCHAR")} % 4)::BIGINT AS h FROM own),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.l, 1, a.h), []), list_slice(a.l, a.h + 1, len(a.l))) AS l FROM asked a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+path AS (SELECT conv_id, len(l) AS n, [x.m FOR x IN l] AS m, [x.w FOR x IN l] AS w FROM rebuilt),
+occurs AS (SELECT conv_id, n, d, list_slice(m, 1, d) AS p, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM path)),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, min(w) AS w,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM occurs GROUP BY p, d),
+above AS (SELECT list_slice(p, 1, a) AS p, sum((n_convs - 1) * w)::BIGINT AS saved, count(*) FILTER (leaf) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM node) GROUP BY 1),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, above.leaves AS n_leaves, above.saved AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN above USING (p) LEFT JOIN kids USING (p) LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = list_slice(node.p, 1, node.d - 1)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are held against brute force, the library or held-out labels in tests/llm."""
-    return {"op1_url_filter": _url_sql(), "op2_source_mix": _MIX_SQL, "op3_line_dedup": _LINES_SQL}
+    return {"op1_url_filter": _url_sql(), "op2_source_mix": _MIX_SQL, "op3_line_dedup": _LINES_SQL, "op11_prefix_trie": _TRIE_SQL}
