@@ -53,6 +53,28 @@ def test_urls(spark):
             urlfilter.BROADCAST_RULES = old
 
 
+PARSED = (
+    r"\bads\b|\btracker\b", r"(?:/foo/)?bar", r"/(ads|adx|track)/", r"\b(?:pop|push)(?:up)?\b", r"(?i)\bADS\b", r"^ads\.", r"/x[0-9]+/\bfoo\b", r"/a{2}/", r"(/foo/)+$", r"/foo/?bar/", r"(?i:track)", r"/(?:a|b){2}/", r"\b[ab]ds\b", r"ads.*|zz", r"/a+b?/",
+    r"(?:^|/)go(?=/x)", r"[./-]ad[sx]?[./-]", r"\p{Alpha}zz\b", r"x(?:(?:y|z)/q)*/w\b",
+)
+
+
+def test_url_patterns_with_alternatives_and_optional_parts(spark):
+    rnd = random.Random(9)
+    bits = ["/", "/", ".", "-", "ads", "adx", "tracker", "track", "foo", "bar", "pop", "push", "up", "a", "aa", "b", "x1", "go", "zz", "w", "q", "y", "_", "é", "ADS"]
+    urls = ["http://" + "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))) for _ in range(600)]
+    urls += ["http://h/ads/x", "http://h/tracker/x", "http://h/ads", "http://h/bar", "http://h/foo/bar", "http://h/popup", "http://h/push"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    parts = urlfilter.host_and_path(F.col("url"))
+    low = F.translate(F.concat(*parts), urlfilter.UPPER, urlfilter.LOWER)
+    for i in range(0, len(PARSED), 5):
+        rules = tuple(urlfilter.UrlRule("block", pattern=p) for p in PARSED[i : i + 5])
+        first = F.coalesce(*[F.when(low.rlike(r.pattern), F.lit(r.pattern)) for r in rules])
+        want = {r[0]: r[1] for r in pages.select("page_id", first).collect()}
+        assert {r.page_id: r.pattern for r in urlfilter.judge(pages, rules).collect()} == want and any(want.values())
+    assert urlfilter.mandatory_tokens(PARSED[0]) == [["ads"], ["tracker"]] and urlfilter.mandatory_tokens(PARSED[1]) == urlfilter.mandatory_tokens("[") == []
+
+
 def secrets(text):
     text = text or ""
     base = []
