@@ -17,7 +17,8 @@ order of summation for each pair, so equal vectors tie exactly and smaller ids w
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 take no part, nor do those of another length than most, whose cosine with the others
-is not defined; rows that repeat an id are
+is not defined; nor do rows without an id, as queries or candidates; vectors of any
+scale count by their direction; rows that repeat an id are
 candidates of their own, except that a query never finds its own id; a table with
 fewer than k candidates gives all of them; other columns are not read.
 """
@@ -141,7 +142,7 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(v.isNotNull() & (F.size(v) > 0) & finite & some)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & some)
 
 
 def fit(vectors: DataFrame, k: int, seed: int = 5, fit_rows: int = FIT_ROWS, target: float = TARGET) -> tuple[Tree, int]:
@@ -151,7 +152,7 @@ def fit(vectors: DataFrame, k: int, seed: int = 5, fit_rows: int = FIT_ROWS, tar
     rows = vectors.filter(u < int(min(1.0, fit_rows / max(1, n)) * (1 << 30))).orderBy(u, "vec_id").select("v").toPandas()["v"]
     if not len(rows):
         rows = vectors.limit(1).toPandas()["v"]
-    x = _unit(np.stack(rows.to_numpy())) if len(rows) else np.zeros((0, 1))
+    x = _unit(_scaled(np.stack(rows.to_numpy()))) if len(rows) else np.zeros((0, 1))
     tree = Tree(x)
     queries = np.random.default_rng(seed).permutation(len(x))[:CALIBRATION_QUERIES]
     return tree, calibrate(tree, x, queries, k, target) if len(x) > 1 else max(1, tree.leaves)
@@ -233,8 +234,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither vanish nor overflow; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return _scaled(np.asarray(column.flatten(), np.float64).reshape(len(column), -1))
 
 
 def _top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

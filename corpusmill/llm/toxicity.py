@@ -7,8 +7,10 @@ goes through a bounded, seeded sample of labelled documents, one document at a
 time, with a learning rate for every coordinate and L1 shrinkage, which leaves
 most weights at zero; the rest are broadcast.
 
-Defined results: null and empty texts have the bias alone; a model without
-training rows scores 0.5; repeated rows agree; other columns are not read.
+Defined results: null and empty texts have the bias alone; labels other than 0 and 1
+are left out; a model without training rows scores 0.5; repeated rows agree; an empty
+table of documents gives an empty one; texts of any length are read whole; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def train(
     the tables' sizes. The bias brings the sample's odds back to those of the labels.
     An id counts once: its largest label, its least text.
     """
-    given = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     if not sizes:
         return Model(np.zeros(0), np.zeros(0), 0.0)

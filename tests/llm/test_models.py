@@ -52,6 +52,15 @@ def test_odd_vectors_and_copies(spark, copies):
     assert anntree.search(few, few).count() == 6
 
 
+def test_null_ids_and_vectors_of_any_scale(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [0.0, 5e-324]), (4, [-1e308, 0.0]), (50, [3.0, 1e-300]), (None, [1.0, 0.0]), (None, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(anntree.search(v, v.filter("vec_id is null or vec_id % 50 = 0"), k=5).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {0: [(1, 1.0), (50, 1.0), (2, pytest.approx(math.sqrt(0.5))), (3, 0.0), (4, -1.0)], 50: [(0, 1.0), (1, 1.0), (2, pytest.approx(math.sqrt(0.5))), (3, pytest.approx(0, abs=1e-290)), (4, -1.0)]}
+
+
 def test_recall_where_few_leaves_are_visited(spark):
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(120, 24))
@@ -94,6 +103,9 @@ def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 0)] + [(i, "vile slur word", 1) for i in range(3, 90)] * 2 + [(i, "kind plain word", 0) for i in range(90, 200)], "doc_id long, text string, toxic int")
     model = toxicity.train(docs, docs)
     scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    odd = docs.unionByName(spark.createDataFrame([(i, "kind plain word", 7) for i in range(300, 400)] + [(400, "vile slur word " * 100_000, None)], docs.schema))
+    same = toxicity.train(odd, odd)
+    assert (same.index == model.index).all() and (same.weight == model.weight).all() and 0 <= toxicity.score(odd.filter("doc_id = 400"), model).first().score <= 1
     assert scores[3] == scores[4] > scores[95] and scores[1] == scores[2] and all(0 <= s <= 1 for s in scores.values())
     empty = toxicity.train(docs, docs.limit(0))
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.5}
