@@ -27,8 +27,8 @@ ORDER = 3
 UNDETERMINED = "und"
 #: Training documents are a seeded sample of about so many for each language.
 SAMPLE_DOCS = 500
-#: Texts of so many bytes are held to the bits a byte that labelled ones need at most, times MARGIN.
-LEAST_BYTES, MARGIN = 200, 1.25
+#: Texts of so many bytes are held to the bits a byte that all labelled ones but a share of 1 - USUAL need, times MARGIN.
+LEAST_BYTES, USUAL, MARGIN = 200, 0.99, 1.6
 PAD = b"\n" * ORDER
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
@@ -207,10 +207,13 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
 
 def usual_bits(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> float:
-    """The most bits for each byte that a text of LEAST_BYTES needs in its best language, over another seeded sample of labelled documents, with MARGIN added; 8 without any."""
+    """The bits for each byte that a share USUAL of another seeded sample of labelled documents of LEAST_BYTES and more need at most in their best language, times MARGIN; 8 without any.
+
+    A share, not the most: a few documents of noise that have a label don't switch the limit off.
+    """
     some = _sample(docs, id_col, text_col, lang_col, sample_docs, seed)
     found = identify(some.filter(F.octet_length("text") >= LEAST_BYTES).select(F.lit(0).alias("doc_id"), "text"), trees)
-    most = found.filter(F.col("lang_pred") != UNDETERMINED).agg(F.max("bits")).first()[0]
+    most = found.filter(F.col("lang_pred") != UNDETERMINED).agg(F.percentile("bits", USUAL)).first()[0]
     return 8.0 if most is None else min(8.0, most * MARGIN)
 
 

@@ -19,6 +19,8 @@ other columns stay as they are, but for one named n_dropped, which the count rep
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,9 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
         met = given.join(F.broadcast(hosts), F.col("of_").eqNullSafe(F.col("host_")), "left")
     else:
         salted = hosts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("row_"), F.lit(SALTS)).cast("int")
+        # maps and variants have no hash; copies of one text have ids that differ
+        hashed = [F.col(f"row_.`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+        salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
         met = given.withColumn("spread_", salt).join(salted, F.col("of_").eqNullSafe(F.col("host_")) & (F.col("spread_") == F.col("salt_")), "left")
     # a host's list is looked through once for a document, then only the lines found are
     lines = _lines(F.col("text_"))

@@ -144,6 +144,15 @@ def test_pipeline_of_odd_tables(spark, tmp_path, rows):
     assert (not got) == (rows == "none") and {r.doc_id for r in got} <= {None, 5, 6}
 
 
+def test_long_lists_of_lines_meet_by_salt(spark, monkeypatch):
+    rows = [(i, f"menu\nstory number {i}\nfoot {i % 3}", f"h{i % 2}", {"a": i}) for i in range(40)] + [(40, None, None, None), (41, "menu", None, {})] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>").repartition(3)
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(linededup.drop_boilerplate(docs))
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    assert plain(linededup.drop_boilerplate(docs)) == want and any("n_dropped=2" in r for r in want)
+
+
 def test_stages_keep_clashing_columns(spark):
     docs = spark.createDataFrame([(i, f"menu\nstory number {i} of many", "a", 7, "x", "y") for i in range(9)], "doc_id long, text string, source string, n_dropped int, bad_ string, gone_ string")
     cut = linededup.drop_boilerplate(docs, most_share=0.5)
@@ -158,12 +167,13 @@ def test_language_stage_rejects_noise(spark):
     rnd = random.Random(2)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     noise = [(10**9 + i, "".join(rnd.choice("qxzjkwvQXZJ?/ ") for _ in range(600)), None, "a", 600) for i in range(20)]
-    both = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    # one of the texts of noise has a label
+    both = docs.unionByName(spark.createDataFrame(noise + [(10**9 - 1, noise[0][1][::-1] * 3, "en", "a", 1800)], docs.schema))
     trees = langid.train(both)
     kept = langid.keep_identified(both, trees, most_bits=langid.usual_bits(both, trees), lang_col="lang")
     assert kept.filter("doc_id >= 1000000000").count() == 0 and kept.filter("lang is null").count() == 0
 
 
 def test_registered():
-    assert len(queries.queries()) == 11 and queries.oracle_sql().keys() <= queries.queries().keys()
+    assert len(queries.queries()) == 14 and queries.oracle_sql().keys() <= queries.queries().keys()
     assert langid.UNDETERMINED == "und"
