@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import checks, spans, text
+from corpusmill.functions import checks, recursive, spans, text
+from corpusmill.operators import clauses
 from corpusmill.plans.registry import query
-from corpusmill.session import table
+from corpusmill.session import ship, table
 
 PERSONAL = (spans.Pattern("email", text.EMAIL, 0.95), spans.Pattern("ip", text.IP, 0.7, "address|ip"), spans.Pattern("card", text.CARD, 0.85), spans.Pattern("phone", text.PHONE, 0.8, "tel|call"))
 
@@ -189,3 +190,26 @@ def document_types(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(top == 0, "none").when(F.col("greeting") == top, "greeting").when(F.col("german") == top, "german").otherwise("french")
     sure = F.least(top / 10 * F.when(top >= 3, 1.2).otherwise(1.0), F.lit(1.0))
     return rows.select("doc_id", kind.alias("kind"), F.round(sure, 6).alias("confidence"), F.round(F.coalesce(F.try_divide("greeting", total), F.lit(0.0)), 6).alias("greeting_share"))
+
+
+@query()
+def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at ever finer separators until parts fit, small neighbours joined. The tests hold it against a plain recursion."""
+    ship(spark)
+    c = recursive.chunks(table(spark, d, "documents"))
+    return c.select("doc_id", "chunk", "start", "stop", "depth", F.md5("part").alias("part_md5"), F.md5("after").alias("after_md5"))
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles: of nine lines one begins a paragraph, three a clause, and two a subclause."""
+    mark = lambda i: F.element_at(F.array(*[F.lit(m) for m in ("", "({0}) ", "a) ", "", "b) ", "   i) ", "c) ", "\tii) ", "")]), F.pmod(i, F.lit(9)).cast("int") + 1)
+    line = lambda v, i: F.concat(F.replace(mark(i), F.lit("{0}"), i.cast("string")), v)
+    docs = table(spark, d, "documents").filter("text is not null")
+    return docs.select("doc_id", F.col("doc_id").alias("number"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("content"))
+
+
+@query()
+def clause_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Articles as trees of paragraphs, clauses and subclauses, with paths. The tests hold it against a plain parser."""
+    t = clauses.clause_tree(_articles(spark, d))
+    return t.select("doc_id", "kind", "number", "level", "path", "parent_path", F.md5("lead").alias("lead_md5"), F.md5("content").alias("content_md5"))
