@@ -1,9 +1,18 @@
-"""Spans of patterns in texts, as arrays of structs (start, end, kind, confidence, found), and what is done with them. All stay in the JVM."""
+"""Spans of patterns in texts, as arrays of structs (start, end, kind, confidence, found), and what is done with them.
+
+Expressions find matches and what lies between them; one pass over those, in Arrow
+batches, gives offsets, so time is linear in a text and its matches (a fold of Column
+functions would copy its list for every match).
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,40 +30,84 @@ class Pattern:
     context: str | None = None
 
 
-def _sizes(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda s, p: s + F.length(p))
+SPANS = "array<struct<start:int,end:int,kind:string,confidence:double,found:string>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("confidence", pa.float64()), ("found", pa.string())]))
+#: A context counts within so many characters of a match.
+NEAR = 20
 
 
-def spans(x: Column, p: Pattern) -> Column:
-    """All matches, leftmost first, not overlapping; start counts from 0, end is exclusive."""
-    found, gaps = F.regexp_extract_all(x, F.lit(p.pattern), F.lit(0)), F.split(x, p.pattern, -1)
+def _each(kind: pa.DataType, f: Callable, *columns: pa.Array) -> pa.Array:
+    return pa.array([f(*(v.as_py() for v in row)) for row in zip(*columns)], kind)
 
-    def one(m: Column, i: Column) -> Column:
-        start = _sizes(F.slice(gaps, 1, i + 1)) + _sizes(F.slice(found, 1, i))
-        near = F.substring(x, F.greatest(start - 20, F.lit(0)) + 1, F.least(start, F.lit(20)) + F.length(m) + 20)
-        sure = F.lit(p.confidence) if p.context is None else F.when(near.rlike("(?i)" + p.context), F.least(F.lit(p.confidence + 0.2), F.lit(1.0))).otherwise(F.lit(p.confidence))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(p.kind).alias("kind"), sure.alias("confidence"), m.alias("found"))
 
-    return F.coalesce(F.transform(found, one), F.array().cast("array<struct<start:int,end:int,kind:string,confidence:double,found:string>>"))
+def _placed(x: str, p: Pattern, found: list[str], gaps: list[int]) -> Iterator[dict]:
+    """Matches with their offsets: gaps are the lengths of what lies between them."""
+    at = 0
+    for m, gap in zip(found, gaps):
+        start = at + gap
+        at = start + len(m)
+        sure = p.confidence
+        if p.context is not None and re.search(p.context, x[max(0, start - NEAR) : at + NEAR], re.IGNORECASE):
+            sure = min(1.0, p.confidence + 0.2)
+        yield {"start": start, "end": at, "kind": p.kind, "confidence": sure, "found": m}
 
 
 def all_spans(x: Column, patterns: tuple[Pattern, ...]) -> Column:
-    """Spans of all patterns by start, the surer first, then by kind."""
-    every = F.concat(*[spans(x, p) for p in patterns])
-    keyed = F.transform(every, lambda s: F.struct(s["start"].alias("a"), (-s["confidence"]).alias("b"), s["kind"].alias("c"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    """Spans of all patterns by start, the surer first, then by kind; those of one pattern don't overlap. start counts from 0, end is exclusive; a null text has none."""
+
+    def merged(text: str | None, *lists: list) -> list[dict]:
+        every = [s for i, p in enumerate(patterns) for s in _placed(text, p, lists[2 * i] or [], lists[2 * i + 1] or [])]
+        return sorted(every, key=lambda s: (s["start"], -s["confidence"], s["kind"]))
+
+    @F.arrow_udf(SPANS)
+    def of(text: pa.Array, *lists: pa.Array) -> pa.Array:
+        return _each(_SPANS, merged, text, *lists)
+
+    found = [F.regexp_extract_all(x, F.lit(p.pattern), F.lit(0)) for p in patterns]
+    gaps = [F.transform(F.split(x, p.pattern, -1), F.length) for p in patterns]
+    return of(x, *[c for pair in zip(found, gaps) for c in pair])
+
+
+def spans(x: Column, p: Pattern) -> Column:
+    """All matches, leftmost first, not overlapping."""
+    return all_spans(x, (p,))
+
+
+def _kept(pick: Callable[[list[dict]], list[dict]], given: Column) -> Column:
+    @F.arrow_udf(SPANS)
+    def of(lists: pa.Array) -> pa.Array:
+        return _each(_SPANS, lambda v: None if v is None else pick(v), lists)
+
+    return of(given)
 
 
 def resolve(sorted_spans: Column) -> Column:
     """Those that begin before the end of one that was kept are left out."""
-    none = F.slice(sorted_spans, 1, 0)
-    return F.aggregate(sorted_spans, none, lambda kept, s: F.when((F.size(kept) > 0) & (s["start"] < F.element_at(kept, -1)["end"]), kept).otherwise(F.concat(kept, F.array(s))))
+
+    def pick(given: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for s in given:
+            if not kept or s["start"] >= kept[-1]["end"]:
+                kept.append(s)
+        return kept
+
+    return _kept(pick, sorted_spans)
 
 
 def longest_first(every: Column) -> Column:
-    """Longer spans are kept first; those that overlap a kept one are left out."""
-    order = F.transform(F.array_sort(F.transform(every, lambda s: F.struct((s["start"] - s["end"]).alias("a"), s["start"].alias("b"), s.alias("s")))), lambda k: k["s"])
-    return F.aggregate(order, F.slice(order, 1, 0), lambda kept, s: F.when(F.exists(kept, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(s))))
+    """Longer spans are kept first, at one length those that begin first; those that overlap a kept one are left out."""
+
+    def pick(given: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        ends: list[tuple[int, int]] = []  # of kept spans, which don't overlap, in order
+        for s in sorted(given, key=lambda s: (s["start"] - s["end"], s["start"])):
+            i = bisect_left(ends, (s["end"], -1))
+            if (i == 0 or ends[i - 1][1] <= s["start"]) and (i == len(ends) or ends[i][0] >= s["end"]):
+                kept.append(s)
+                insort(ends, (s["start"], s["end"]))
+        return kept
+
+    return _kept(pick, every)
 
 
 STRATEGIES = {
@@ -69,10 +122,21 @@ STRATEGIES = {
 
 def redact(x: Column, kept: Column, strategy: str) -> Column:
     """The text with each span (by start, not overlapping) put by what the strategy makes of it."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(x, acc["at"] + 1, s["start"] - acc["at"]), STRATEGIES[strategy](s)).alias("out"))
-    done = F.aggregate(kept, start, step)
-    return F.concat(done["out"], F.substring(x, done["at"] + 1, F.length(x)))
+
+    def put(text: str | None, starts: list[int] | None, ends: list[int], pieces: list[str]) -> str | None:
+        if text is None or starts is None:
+            return None
+        out, at = [], 0
+        for start, end, piece in zip(starts, ends, pieces):
+            out += [text[at:start], piece]
+            at = end
+        return "".join(out) + text[at:]
+
+    @F.arrow_udf("string")
+    def of(text: pa.Array, *lists: pa.Array) -> pa.Array:
+        return _each(pa.string(), put, text, *lists)
+
+    return of(x, F.transform(kept, lambda s: s["start"]), F.transform(kept, lambda s: s["end"]), F.transform(kept, STRATEGIES[strategy]))
 
 
 def confidence(match: Column, context: Column, specific: Column) -> Column:
@@ -89,18 +153,26 @@ def marked_parts(x: Column, pattern: str) -> Column:
 
 def packed(sentences: Column, most: int) -> Column:
     """Sentences joined by blanks into chunks, as many as fit in `most` characters (blanks not counted); a longer one stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"), F.lit(0).alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["size"] + F.length(s) > most) & (acc["n"] > 0)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full | (acc["n"] == 0), s).otherwise(F.concat(acc["now"], F.lit(" "), s)).alias("now"),
-            (F.when(full, 0).otherwise(acc["size"]) + F.length(s)).alias("size"),
-            (F.when(full, 0).otherwise(acc["n"]) + 1).alias("n"),
-        )
-
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+
+    def chunks(given: list[str] | None) -> list[str] | None:
+        if given is None:
+            return None
+        out: list[list[str]] = []
+        size = 0
+        for s in given:
+            if out and size + len(s) <= most:
+                out[-1].append(s)
+                size += len(s)
+            else:
+                out.append([s])
+                size = len(s)
+        return [" ".join(c) for c in out]
+
+    @F.arrow_udf("array<string>")
+    def of(lists: pa.Array) -> pa.Array:
+        return _each(pa.list_(pa.string()), chunks, lists)
+
+    return of(sentences)
 
 
 def completeness(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators import folds
+
 GENESIS = "0" * 64
 
 
@@ -44,20 +46,6 @@ def current_state(df: DataFrame, key: str, order: list[str], state: str) -> Data
 
 
 def alerts(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: int) -> DataFrame:
-    """keys, tie: the rows that are sent on, where one sent silences its key's later ones for so many seconds.
-
-    What counts is the last row sent, so a key's rows are folded in order. Rows of a
-    key are first split where the gap to the row before is at least the cool-down
-    (there a row is sent whatever came before), so a fold goes over one burst only.
-    """
-    w = W.partitionBy(*keys).orderBy(ts, tie)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    timed = df.select(*keys, tie, ts).withColumn("at_", micros)
-    fresh = F.coalesce((F.col("at_") - F.lag("at_").over(w) >= seconds * 1_000_000).cast("int"), F.lit(1))
-    bursts = timed.withColumn("fresh_", fresh).withColumn("burst_", F.sum("fresh_").over(w))
-    rows = bursts.groupBy(*keys, "burst_").agg(F.sort_array(F.collect_list(F.struct("at_", tie))).alias("rows_"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("sent"))
-    step = lambda acc, x: F.when(
-        acc["last"].isNull() | (x["at_"] - acc["last"] >= seconds * 1_000_000), F.struct(x["at_"].alias("last"), F.concat(acc["sent"], F.array(x[tie].cast("long"))).alias("sent"))
-    ).otherwise(acc)
-    return rows.select(*keys, F.explode(F.aggregate("rows_", start, step)["sent"]).alias(tie))
+    """keys, tie: the rows that are sent on, where one sent silences its key's later ones for so many seconds. What counts is the last row sent."""
+    sent = folds.decided(df.select(*keys, tie, ts), keys, ts, tie, folds.cool_down(seconds * 1_000_000), "sent_")
+    return sent.filter("sent_").select(*keys, tie)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import spans, text, windows
-from corpusmill.operators import stats
+from corpusmill.operators import folds, stats
 from corpusmill.plans.registry import query
 from corpusmill.session import ship, table
 
@@ -70,12 +70,33 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     return stats.retries(e.filter("event_type = 'error'").withColumn("tries", tries).join(F.broadcast(now)), "tries", "ts", "now").select("event_id", "wait_minutes", "retry")
 
 
-@query("SELECT event_id, n FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 8")
+def _limits_sql(allowed: str, held: str) -> str:
+    """Recursion over a user's events: allowed says whether the next one is, by the times held and its own, t; held is what stays of them."""
+    return (
+        "WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts IS NOT NULL), "
+        "f AS (SELECT event_id, user_id, r, true AS ok, [t] AS held FROM o WHERE r = 1 UNION ALL "
+        f"SELECT event_id, user_id, r, {allowed} AS ok, CASE WHEN {allowed} THEN list_append(old, t) ELSE old END AS held FROM (SELECT o.*, {held} AS old FROM f JOIN o ON o.user_id IS NOT DISTINCT FROM f.user_id AND o.r = f.r + 1)) "
+        "SELECT event_id, user_id FROM f WHERE NOT ok"
+    )
+
+
+MOST_EVENTS, PERIOD = 2, 24 * 3600 * 1_000_000
+
+
+@query(_limits_sql(f"len(old) < {MOST_EVENTS}", f"[x FOR x IN held IF x > o.t - {PERIOD}]"))
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
-    """Events beyond eight of a kind in the hour that ends with them."""
-    w = W.partitionBy("event_type").orderBy("second").rangeBetween(-3600, 0)
-    e = table(spark, d, "events").withColumn("second", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts"))
-    return e.withColumn("n", F.count("*").over(w)).filter("n > 8").select("event_id", "n")
+    """A user's events beyond two allowed ones in the day that ends with them; refused ones don't count."""
+    ship(spark)
+    e = table(spark, d, "events").filter("ts is not null").select("event_id", "user_id", "ts")
+    return folds.decided(e, ["user_id"], "ts", "event_id", lambda: folds.Rate(MOST_EVENTS, PERIOD)).filter("not allowed").select("event_id", "user_id")
+
+
+@query(_limits_sql(f"len(old) < {MOST_EVENTS}", f"CASE WHEN o.t >= held[1] + {PERIOD} THEN [] ELSE held END"))
+def calls_over_limit(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events beyond two in a day that the first of them opens."""
+    ship(spark)
+    e = table(spark, d, "events").filter("ts is not null").select("event_id", "user_id", "ts")
+    return folds.decided(e, ["user_id"], "ts", "event_id", lambda: folds.Calls(MOST_EVENTS, PERIOD)).filter("not allowed").select("event_id", "user_id")
 
 
 @query("SELECT o_orderkey, round(0.4 * least(o_totalprice / 500000, 1) + 0.3 * (o_custkey % 100) / 100 + 0.3 * (o_orderkey % 7) / 7, 6) AS risk, CASE WHEN 0.4 * least(o_totalprice / 500000, 1) + 0.3 * (o_custkey % 100) / 100 + 0.3 * (o_orderkey % 7) / 7 >= 0.75 THEN 'CRITICAL' WHEN 0.4 * least(o_totalprice / 500000, 1) + 0.3 * (o_custkey % 100) / 100 + 0.3 * (o_orderkey % 7) / 7 >= 0.5 THEN 'HIGH' WHEN 0.4 * least(o_totalprice / 500000, 1) + 0.3 * (o_custkey % 100) / 100 + 0.3 * (o_orderkey % 7) / 7 >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM orders")

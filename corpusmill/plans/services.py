@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import dates, text
 from corpusmill.operators import audit, filters
 from corpusmill.plans.registry import query
-from corpusmill.session import table
+from corpusmill.session import ship, table
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE (o_orderdate IS NULL OR (o_orderdate >= '1996-01-01' AND o_orderdate <= '1998-12-31')) AND o_orderstatus IN ('F', 'O') AND o_totalprice >= 100000 AND o_custkey % 10 = 3")
@@ -276,6 +276,7 @@ def chain_violations(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, event_type, n, t AS last, event_id, true AS sent FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_type, e.n, CASE WHEN e.t - f.last >= 3600000000 THEN e.t ELSE f.last END, e.event_id, e.t - f.last >= 3600000000 FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1) SELECT event_id, event_type FROM f WHERE sent")
 def alerts_after_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """An alert that is sent silences its key for an hour; silenced ones do not."""
+    ship(spark)
     return audit.alerts(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 3600).select("event_id", "event_type")
 
 

@@ -25,6 +25,7 @@ _SPANS = "WITH RECURSIVE s AS (" + " UNION ALL ".join(_sql_spans(p) for p in PER
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.withColumn("kept", spans.resolve(spans.all_spans(F.col("text"), PERSONAL)))
 
@@ -69,6 +70,7 @@ def article_chunks(spark: SparkSession, d: str) -> DataFrame:
 )
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Sentences packed into chunks of at most 512 characters."""
+    ship(spark)
     sentences = F.split("text", r"[.!?][ \t\n\r\f]+", -1)
     rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(spans.packed(sentences, 512)).alias("chunk", "c"))
     return rows.select("doc_id", "chunk", F.md5("c").alias("chunk_md5"))
