@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import checks, recursive, spans, text
+from corpusmill.functions import checks, markup, recursive, spans, text
 from corpusmill.operators import clauses
 from corpusmill.plans.registry import query
 from corpusmill.session import ship, table
@@ -215,3 +215,28 @@ def clause_trees(spark: SparkSession, d: str) -> DataFrame:
     """Articles as trees of paragraphs, clauses and subclauses, with paths. The tests hold it against a plain parser."""
     t = clauses.clause_tree(_articles(spark, d))
     return t.select("doc_id", "kind", "number", "level", "path", "parent_path", F.md5("lead").alias("lead_md5"), F.md5("content").alias("content_md5"))
+
+
+@query()
+def html_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as trees of elements. The tests hold it against the standard library's parser."""
+    ship(spark)
+    e = markup.elements(table(spark, d, "pages"))
+    return e.select("page_id", "node", "parent", "depth", "tag", F.map_keys("attributes").alias("names"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def html_table_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of tables at their places; the pages' lists stand for tables, a row for each item with a cell that spans two rows."""
+    ship(spark)
+    page = F.col("html")
+    for old, new in (("<ul>", "<table><tr><th rowspan=2>list"), ("<li>", "<tr><td>"), ("</li>", "<td>&amp;"), ("</ul>", "</table>")):
+        page = F.replace(page, F.lit(old), F.lit(new))
+    return markup.table_cells(table(spark, d, "pages").select("page_id", page.alias("html")))
+
+
+@query()
+def html_structured_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text of pages by structure: headings, items, quotes and rows marked, scripts and styles left out."""
+    ship(spark)
+    return markup.structured_text(table(spark, d, "pages")).select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
