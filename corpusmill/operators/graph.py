@@ -36,41 +36,52 @@ def degrees(edges: DataFrame) -> DataFrame:
     return sides.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
-def chain_depths(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """node, depth: nodes of the longest chain of references that begins at each node (1 without any), up to limit; edges without cycles."""
-    pairs = edges.select("src", "dst").filter("src <> dst").distinct()
-    front = durable(pairs.select(F.col("dst").alias("node")).distinct().join(pairs.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(1)))
-    every = front
-    for _ in range(limit):
-        front = durable(front.join(pairs, front["node"] == pairs["dst"]).select(F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
-        if front.isEmpty():
-            break
+def chain_depths(edges: DataFrame) -> DataFrame:
+    """node, depth: nodes of the longest chain of references that begins at each node (1 without any); null for a node from which a cycle is reached. An edge from a node to itself is left out.
+
+    Nodes without an open reference are done and close the references to them, so every
+    edge leaves once, in as many rounds as the longest chain has nodes.
+    """
+    left = durable(edges.select("src", "dst").filter("src <> dst").distinct())
+    node = lambda df, c: df.select(F.col(c).alias("node"))
+    front = durable(node(left, "dst").distinct().join(node(left, "src"), "node", "left_anti").withColumn("depth", F.lit(1)))
+    every, depth = front, 1
+    while not front.isEmpty():
+        depth += 1
+        done = node(front, "node").withColumnRenamed("node", "dst")
+        closed = left.join(done, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        left = durable(left.join(done, "dst", "left_anti").select("src", "dst"))
+        front = durable(closed.join(node(left, "src"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         every = every.unionByName(front)
-    return every.groupBy("node").agg(F.max("depth").alias("depth"))
+    return every.unionByName(node(left, "src").distinct().withColumn("depth", F.lit(None).cast("int")))
 
 
-def cyclic(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """node, length: nodes that lead back to themselves, with the fewest edges that do, up to limit.
+def cyclic(edges: DataFrame) -> DataFrame:
+    """node, length: nodes that lead back to themselves, with the fewest edges that do, however many.
 
-    Nodes without an edge in or out are taken off first, as often as any is left.
+    Nodes without an edge in or out are taken off first, as often as any is left; then
+    every node of what remains is followed until it meets itself, so the work grows with
+    the square of the cyclic part.
     """
     pairs = durable(edges.select("src", "dst").distinct())
-    for _ in range(limit):
+    n, before = pairs.count(), -1
+    while n != before:
         ends = pairs.select(F.col("src").alias("n")).join(pairs.select(F.col("dst").alias("n")), "n", "left_semi").distinct()
-        kept = durable(pairs.join(ends.select(F.col("n").alias("src")), "src", "left_semi").join(ends.select(F.col("n").alias("dst")), "dst", "left_semi"))
-        if kept.count() == pairs.count():
-            break
-        pairs = kept
-    front = pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    seen, length = None, 1
-    found = front.filter("start = node").select(F.col("start").alias("node"), F.lit(1).alias("length"))
-    seen = durable(front)
-    front = seen
-    while length < limit and not front.isEmpty():
+        pairs = durable(pairs.join(ends.select(F.col("n").alias("src")), "src", "left_semi").join(ends.select(F.col("n").alias("dst")), "dst", "left_semi"))
+        n, before = pairs.count(), n
+    length = 1
+    front = durable(pairs.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(length).alias("length")))
+    seen, found = front, front.filter("start = node").select("node", "length")
+    met = found.select(F.col("node").alias("start"))
+    while not front.isEmpty():
         length += 1
-        step = front.join(pairs, front["node"] == pairs["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = durable(step.join(seen, ["start", "node"], "left_anti"))
-        found = found.unionByName(front.filter("start = node").select(F.col("start").alias("node"), F.lit(length).alias("length")))
+        # a start that has met itself needs no further steps
+        going = front.join(met, "start", "left_anti")
+        step = going.join(pairs, going["node"] == pairs["src"]).select("start", F.col("dst").alias("node")).distinct()
+        front = durable(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("length", F.lit(length)))
+        back = front.filter("start = node")
+        found = found.unionByName(back.select("node", "length"))
+        met = back.select("start")
         seen = seen.unionByName(front)
     return found
 
