@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import differences
-from corpusmill.operators import versions
+from corpusmill.operators import snapshots, versions
 from corpusmill.plans.registry import query
 from corpusmill.session import ship, table
 
@@ -80,3 +80,24 @@ def article_matches(spark: SparkSession, d: str) -> DataFrame:
     old, new = articles(spark, d)
     found = versions.match_articles(old, new, "doc_id")
     return found.withColumn("likeness", F.round("likeness", 9))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's record at each order: what the order says, its price class only above a threshold."""
+    o = table(spark, d, "orders").filter("o_custkey is not null and o_orderkey is not null")
+    state = F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("level"), F.year("o_orderdate").cast("string").alias("year")).alias("order"))
+    rows = snapshots.paths(o.select("o_custkey", "o_orderkey", state.alias("state")), ["o_custkey", "o_orderkey"], "state")
+    high = o.filter("o_totalprice > 100000").select("o_custkey", "o_orderkey", F.lit("price.high").alias("path"), F.floor(F.col("o_totalprice") / 100000).cast("string").alias("value"))
+    return rows.unionByName(high)
+
+
+@query(
+    "SELECT o_orderkey, o_custkey, md5(CASE WHEN o_totalprice > 100000 THEN concat_ws(chr(10), 'order.level=' || o_orderpriority, 'order.year=' || year(o_orderdate), 'price.high=' || floor(o_totalprice / 100000)::BIGINT, 'status=' || o_orderstatus) "
+    "ELSE concat_ws(chr(10), 'order.level=' || o_orderpriority, 'order.year=' || year(o_orderdate), 'status=' || o_orderstatus) END) AS state_md5 FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL"
+)
+def restored_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of every customer's record, restored from full snapshots and deltas."""
+    records = _records(spark, d)
+    back = snapshots.restore(snapshots.deltas(records, "o_custkey", "o_orderkey", 5), records, "o_custkey", "o_orderkey")
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "path", "value"))), "\n")
+    return back.groupBy("o_orderkey", "o_custkey").agg(F.md5(lines).alias("state_md5"))
