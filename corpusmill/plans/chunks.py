@@ -47,6 +47,18 @@ def terminology(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("modal_share", F.round(F.try_divide(F.greatest("small", "large"), F.col("small") + F.col("large")), 6))
 
 
+@query(
+    f"WITH w AS (SELECT source, unnest(regexp_extract_all(text, '{text.WORD}')) AS word FROM documents WHERE text IS NOT NULL), c AS (SELECT source, lower(word) AS term, word, count(*) AS n FROM w GROUP BY ALL) "
+    "SELECT source, term, count(*) AS spellings, sum(n)::BIGINT AS n, min(word) FILTER (n = most) AS prevailing, round(max(n) / sum(n), 6) AS modal_share, max(n) < 0.8 * sum(n) AS inconsistent FROM (SELECT *, max(n) OVER (PARTITION BY source, term) AS most FROM c) GROUP BY source, term HAVING count(*) > 1"
+)
+def term_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of a source that is spelt in more than one way, and how far one spelling prevails; a frequent term is summed up before its shuffle."""
+    words = table(spark, d, "documents").filter("text is not null").select("source", F.explode(F.regexp_extract_all("text", F.lit(text.WORD), F.lit(0))).alias("word"))
+    each = words.groupBy("source", F.lower("word").alias("term"), "word").agg(F.count("*").alias("n"))
+    terms = each.groupBy("source", "term").agg(F.count("*").alias("spellings"), F.sum("n").alias("total"), F.max("n").alias("most"), F.min(F.struct(-F.col("n"), F.col("word"))).alias("first"))
+    return terms.filter("spellings > 1").select("source", "term", "spellings", F.col("total").alias("n"), F.col("first.word").alias("prevailing"), F.round(F.col("most") / F.col("total"), 6).alias("modal_share"), (F.col("most") < 0.8 * F.col("total")).alias("inconsistent"))
+
+
 @query("SELECT source, count(*) AS n, round(avg(filled), 6) AS completeness, count(*) FILTER (filled < 0.5) AS errors, count(*) FILTER (filled >= 0.5 AND filled < 0.8) AS warnings FROM (SELECT source, ((doc_id IS NOT NULL)::INT + (coalesce(text, '') <> '')::INT + (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT + (n_chars > 500)::INT) / 5 AS filled FROM documents) GROUP BY source")
 def completeness_by_source(spark: SparkSession, d: str) -> DataFrame:
     """The share of five fields filled: under a half is an error, under four fifths a warning."""
