@@ -145,7 +145,7 @@ def monitor_anomalies(spark: SparkSession, d: str) -> DataFrame:
     "WITH RECURSIVE s AS (SELECT l_suppkey AS k, row_number() OVER o AS n, avg(l_discount * 10 - l_tax * 10) OVER w AS e, avg((l_discount * 10 - l_tax * 10) * (l_discount * 10 - l_tax * 10)) OVER w AS mse FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL "
     "WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax), w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)), c AS (SELECT k, n // 10 AS version, e, mse FROM s WHERE n % 10 = 0), "
     "f AS (SELECT DISTINCT k, 0::BIGINT AS version, 0.0::DOUBLE AS e, 0.0::DOUBLE AS mse, 0.4::DOUBLE AS h, 0.3::DOUBLE AS r, 0.3::DOUBLE AS z FROM c UNION ALL SELECT k, version, e, mse, h / (h + r + z), r / (h + r + z), z / (h + r + z) FROM (SELECT c.k, c.version, c.e, c.mse, greatest(0.1, least(0.7, f.h - c.e * 0.01)) AS h, greatest(0.1, least(0.5, f.r - c.e * 0.0075)) AS r, greatest(0.1, least(0.5, f.z - c.e * 0.0075)) AS z FROM f JOIN c ON c.k IS NOT DISTINCT FROM f.k AND c.version = f.version + 1)) "
-    "SELECT k AS l_suppkey, version, round(e, 6) AS mean_error, round(mse, 6) AS mse, round(h, 6) AS hallucination, round(r, 6) AS rag_quality, round(z, 6) AS reasoning FROM f WHERE version > 0"
+    "SELECT k AS l_suppkey, version, round(e, 6) + 0.0 AS mean_error, round(mse, 6) AS mse, round(h, 6) AS hallucination, round(r, 6) AS rag_quality, round(z, 6) AS reasoning FROM f WHERE version > 0"
 )
 def learned_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights by supplier, learnt from discounts as predictions and taxes as truth, ten rows at a time."""
@@ -155,4 +155,4 @@ def learned_weights(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax"]
     rows = table(spark, d, "lineitem").select("l_suppkey", *order, (F.col("l_discount") * 10).alias("predicted"), (F.col("l_tax") * 10).alias("actual"))
     w = learning.learned(rows, "l_suppkey", order, "predicted", "actual")
-    return w.select("l_suppkey", "version", *[F.round(c, 6).alias(c) for c in ("mean_error", "mse", *learning.WEIGHTS)])
+    return w.select("l_suppkey", "version", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_error", "mse", *learning.WEIGHTS)])  # no negative zeros
