@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import checks, markup, recursive, spans, text
-from corpusmill.operators import clauses
+from corpusmill.operators import clauses, references
 from corpusmill.plans.registry import query
 from corpusmill.session import ship, table
 
@@ -240,3 +240,17 @@ def html_structured_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of pages by structure: headings, items, quotes and rows marked, scripts and styles left out."""
     ship(spark)
     return markup.structured_text(table(spark, d, "pages")).select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with mentions of articles and laws put before their lines."""
+    mark = lambda i: F.element_at(F.array(*[F.lit(m) for m in ("Madde {0} ", "", "anılan madde ", "1{0} sayılı Medeni Kanunu ", "aşağıdaki son madde ", "söz konusu kanun ", "bu fıkra ", "işbu madde ")]), F.pmod(i * 3 + F.col("doc_id"), F.lit(8)).cast("int") + 1)
+    line = lambda v, i: F.concat(F.replace(mark(i), F.lit("{0}"), F.lpad((i % 999).cast("string"), 3, "0")), v)
+    return table(spark, d, "documents").filter("text is not null and doc_id is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query()
+def resolved_references(spark: SparkSession, d: str) -> DataFrame:
+    """References with the article or law that they point at. The tests hold it against a plain scan."""
+    ship(spark)
+    return references.references(_cited(spark, d))
