@@ -64,7 +64,8 @@ def all_spans(x: Column, patterns: tuple[Pattern, ...]) -> Column:
         return _each(_SPANS, merged, text, *lists)
 
     found = [F.regexp_extract_all(x, F.lit(p.pattern), F.lit(0)) for p in patterns]
-    gaps = [F.transform(F.split(x, p.pattern, -1), F.length) for p in patterns]
+    # only texts with a match are gone through once more
+    gaps = [F.when(F.size(f) > 0, F.transform(F.split(x, p.pattern, -1), F.length)) for f, p in zip(found, patterns)]
     return of(x, *[c for pair in zip(found, gaps) for c in pair])
 
 
