@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import activity, chunks, corpus, graphs, retrieval, services, texts, versions  # noqa: F401  they register their queries
+from corpusmill.plans import activity, chunks, corpus, graphs, logic, retrieval, services, texts, versions  # noqa: F401  they register their queries
 from corpusmill.plans.registry import QUERIES, SQL, Query
 
 
