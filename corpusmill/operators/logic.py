@@ -44,21 +44,31 @@ FINDING = "doc_id", "place", "number", "finding", "about", "other", "n_others"
 
 
 def _has(x: Column, words: tuple[str, ...]) -> Column:
-    return x.rlike("|".join(words))
+    out = F.contains(x, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(x, F.lit(w))
+    return out
+
+
+def _all(x: Column, pattern: str, group: int, words: tuple[str, ...]) -> Column:
+    """Every match of a pattern; a text without one of these words, which each match holds, isn't searched."""
+    return F.when(_has(x, words), F.regexp_extract_all(x, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
 def provisions(articles: DataFrame) -> DataFrame:
-    """doc_id, place, number, low (the content in lower case), subject, obliges, forbids, conditional, concludes, impossible, exempts, scope, only (which of ONLY it has), prior, term (days) and refers (numbers of articles)."""
+    """doc_id, place, number, subject, obliges, forbids, conditional, concludes, impossible, spared (words exempted; null where there is no exemption), scope (the content in lower case, where it speaks of the scope), only (which of ONLY it has), prior, term (days), refers (numbers of articles) and dated (date and side)."""
     low = F.lower(F.coalesce("content", F.lit("")))
     rows = articles.filter("doc_id is not null").select("doc_id", "place", F.col("number").cast("string").alias("number"), low.alias("low"))
     x = F.col("low")
     days = F.create_map(*[F.lit(v) for pair in DAYS.items() for v in pair])
-    term = F.regexp_extract(x, TERM, 1).try_cast("int") * F.try_element_at(days, F.regexp_extract(x, TERM, 2))
+    term = F.when(_has(x, ("içinde",)), F.regexp_extract(x, TERM, 1).try_cast("int") * F.try_element_at(days, F.regexp_extract(x, TERM, 2)))
+    sides = ("önce", "sonra")
+    dated = F.arrays_zip(_all(x, DATED, 1, sides).alias("date"), _all(x, DATED, 2, sides).alias("side"))
     first = F.regexp_extract(x, r"[^\t-\r ]+", 0)
     return rows.select(
-        "*", F.when(first != "", first).alias("subject"), _has(x, OBLIGATION).alias("obliges"), _has(x, PROHIBITION).alias("forbids"), _has(x, CONDITION).alias("conditional"), _has(x, CONSEQUENCE).alias("concludes"),
-        (F.contains(x, F.lit("hem de")) & _has(x, NEGATION)).alias("impossible"), _has(x, EXEMPTION).alias("exempts"), _has(x, SCOPE).alias("scope"),
-        F.filter(F.array(*[F.lit(w) for w in ONLY]), lambda w: F.contains(x, w)).alias("only"), _has(x, PRIORITY).alias("prior"), term.alias("term"), F.array_distinct(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(1))).alias("refers"),
+        "doc_id", "place", "number", F.when(first != "", first).alias("subject"), _has(x, OBLIGATION).alias("obliges"), _has(x, PROHIBITION).alias("forbids"), _has(x, CONDITION).alias("conditional"), _has(x, CONSEQUENCE).alias("concludes"),
+        (F.contains(x, F.lit("hem de")) & _has(x, NEGATION)).alias("impossible"), F.when(_has(x, EXEMPTION), F.array_distinct(F.regexp_extract_all(x, F.lit(EXEMPTED), F.lit(1)))).alias("spared"), F.when(_has(x, SCOPE), x).alias("scope"),
+        F.filter(F.array(*[F.lit(w) for w in ONLY]), lambda w: F.contains(x, w)).alias("only"), _has(x, PRIORITY).alias("prior"), term.alias("term"), F.array_distinct(_all(x, REFERENCE, 1, ("madde",))).alias("refers"), F.array_distinct(dated).alias("dated"),
     )
 
 
@@ -92,8 +102,8 @@ def findings(articles: DataFrame) -> DataFrame:
     exceeding_exemption: words exempted that the document's first article on its scope doesn't have; n_others counts them, about joins them.
     before_and_after: one subject bound before and after one date; other is the first on the other side.
     """
-    rows = provisions(articles)
-    flags = rows.drop("low")
+    # texts are gone through once: what they say is small, and every check below reads it
+    flags = durable(provisions(articles))
     ruled = F.col("obliges") | F.col("forbids")
     by_subject = flags.filter(ruled & F.col("subject").isNotNull()).groupBy("doc_id", "subject").agg(
         F.count_if("forbids").alias("n_forbid"), F.min(F.when(F.col("forbids"), _at())).alias("forbidder"),
@@ -112,13 +122,12 @@ def findings(articles: DataFrame) -> DataFrame:
     lone = F.filter(F.array(F.when(F.col("conditional") & ~F.col("concludes"), "incomplete_condition"), F.when(F.col("conditional") & F.col("impossible"), "impossible_condition")), lambda c: c.isNotNull())
     conditions = flags.select("doc_id", "place", "number", F.explode(lone).alias("finding")).select("*", none.alias("about"), none.alias("other"), zero.alias("n_others"))
 
-    scopes = rows.filter("scope").groupBy("doc_id").agg(F.min_by(F.struct("low", "number"), _at()).alias("scope"))
-    spared = rows.filter("exempts").select("doc_id", "place", "number", F.array_distinct(F.regexp_extract_all("low", F.lit(EXEMPTED), F.lit(1))).alias("spared"))
+    scopes = flags.filter("scope is not null").groupBy("doc_id").agg(F.min_by(F.struct(F.col("scope").alias("low"), "number"), _at()).alias("scope"))
+    spared = flags.filter(F.size("spared") > 0).select("doc_id", "place", "number", "spared")
     beyond = spared.join(scopes, "doc_id").select("doc_id", "place", "number", F.filter("spared", lambda w: ~F.contains(F.col("scope.low"), w)).alias("beyond"), F.col("scope.number").alias("other")).filter(F.size("beyond") > 0)
     exempt = beyond.select("doc_id", "place", "number", F.lit("exceeding_exemption").alias("finding"), F.array_join("beyond", ",").alias("about"), "other", F.size("beyond").cast("long").alias("n_others"))
 
-    dates, sides = F.regexp_extract_all("low", F.lit(DATED), F.lit(1)), F.regexp_extract_all("low", F.lit(DATED), F.lit(2))
-    said = rows.filter(F.col("subject").isNotNull()).select("doc_id", "place", "number", "subject", F.explode(F.array_distinct(F.arrays_zip(dates.alias("date"), sides.alias("side")))).alias("d")).select("doc_id", "place", "number", "subject", "d.date", "d.side")
+    said = flags.filter(F.col("subject").isNotNull()).select("doc_id", "place", "number", "subject", F.inline("dated"))
     early, late = F.col("side") == "önce", F.col("side") == "sonra"
     dated = said.groupBy("doc_id", "subject", "date").agg(F.count_if(early).alias("n_early"), F.count_if(late).alias("n_late"), F.min(F.when(early, _at())).alias("early"), F.min(F.when(late, _at())).alias("late")).filter("n_early > 0 and n_late > 0")
     both = said.join(dated, ["doc_id", "subject", "date"]).select("doc_id", "place", "number", F.lit("before_and_after").alias("finding"), F.concat_ws(" ", "subject", "date").alias("about"), F.when(early, F.col("late.number")).otherwise(F.col("early.number")).alias("other"), F.when(early, F.col("n_late")).otherwise(F.col("n_early")).alias("n_others"))
