@@ -142,8 +142,10 @@ def findings(articles: DataFrame) -> DataFrame:
 def reference_edges(articles: DataFrame, conditional_only: bool = False) -> DataFrame:
     """src, dst (structs of document and number): which article names which."""
     rows = provisions(articles).filter("number is not null")
-    if conditional_only:
-        rows = rows.filter("conditional")
+    return _edges(rows.filter("conditional") if conditional_only else rows)
+
+
+def _edges(rows: DataFrame) -> DataFrame:
     node = lambda n: F.struct("doc_id", F.col(n).alias("number"))
     return rows.select("doc_id", "number", F.explode("refers").alias("named")).select(node("number").alias("src"), node("named").alias("dst")).distinct()
 
@@ -159,13 +161,17 @@ def inherited_contradictions(articles: DataFrame) -> DataFrame:
     Only subjects that a document both obliges and forbids are followed. Each round
     carries what was new in the last one, so there are as many as the longest way.
     """
-    rows = provisions(articles).filter("number is not null and subject is not null and (obliges or forbids)")
+    bound = "subject is not null and (obliges or forbids)"
+    naming = "conditional and size(refers) > 0"
+    # texts are gone through once, for facts and references
+    told = durable(provisions(articles).filter(f"number is not null and ({bound} or {naming})").select("doc_id", "number", "subject", "obliges", "forbids", "conditional", "refers"))
+    rows = told.filter(bound)
     signs = F.filter(F.array(F.when(F.col("obliges"), 1), F.when(F.col("forbids"), -1)), lambda s: s.isNotNull())
     own = rows.select("doc_id", "number", "subject", F.explode(signs).alias("sign")).distinct()
     torn = own.groupBy("doc_id", "subject").agg(F.min("sign").alias("a"), F.max("sign").alias("b")).filter("a < b").select("doc_id", "subject")
     key = ["doc_id", "number", "subject", "sign"]
     known = front = durable(own.join(torn, ["doc_id", "subject"], "left_semi").select(*key).withColumn("level", F.lit(0)))
-    edges = durable(reference_edges(articles, conditional_only=True).join(known.select("doc_id").distinct(), F.col("src.doc_id") == F.col("doc_id"), "left_semi").select("src.doc_id", F.col("src.number").alias("taker"), F.col("dst.number").alias("number")))
+    edges = durable(_edges(told.filter(naming)).join(known.select("doc_id").distinct(), F.col("src.doc_id") == F.col("doc_id"), "left_semi").select("src.doc_id", F.col("src.number").alias("taker"), F.col("dst.number").alias("number")))
     level = 0
     while not front.isEmpty():
         level += 1
