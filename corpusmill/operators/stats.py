@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.session import durable
+
 BUCKETS = 100
 
 
@@ -22,11 +24,13 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float], b
 
     Equal values are counted first. Counts are put in buckets whose bounds are
     approximate quantiles of each group, so however heavy a tail is, only a bucket's
-    distinct values are ordered, never a whole group.
+    distinct values are ordered, never a whole group. The bounds depend on the order in
+    which partial results are merged, so they are written once: rows placed by one set
+    of bounds and counted by another would miss their place.
     """
     rows = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g_"), F.col(value).alias("v_")).agg(F.count("*").alias("c_"))
     cuts = [i / buckets for i in range(1, buckets)]
-    span = rows.groupBy(F.col("g_").alias("h_")).agg(F.percentile_approx("v_", cuts, 10 * buckets).alias("cuts_"), F.sum("c_").alias("n_"))
+    span = durable(rows.groupBy(F.col("g_").alias("h_")).agg(F.percentile_approx("v_", cuts, 10 * buckets).alias("cuts_"), F.sum("c_").alias("n_")))
     bucket = F.size(F.filter("cuts_", lambda x: x < F.col("v_")))
     placed = rows.join(span, F.col("g_").eqNullSafe(F.col("h_"))).select("g_", "v_", "c_", "n_", bucket.alias("b_"))
     counts = placed.groupBy("g_", "b_").agg(F.sum("c_").alias("k_"), F.max("n_").alias("n_"))

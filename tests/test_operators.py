@@ -167,3 +167,15 @@ def test_spans_of_a_long_text_take_linear_time(spark):
         took.append(time.time() - began)
         assert size == 2 * n and red == "[E-POSTA] say hello to [IP-ADRESI]. " * n and packed > n // 30
     assert took[1] < 20 * took[0] + 5
+
+
+def test_ranks_do_not_depend_on_the_order_of_merged_parts(spark, monkeypatch):
+    """Approximate bounds may differ from one evaluation to the next; here they always do."""
+    rows = spark.createDataFrame([(g, float(v * v % 997)) for g in range(2) for v in range(600)], "g int, v double").repartition(4)
+    plain = F.percentile_approx
+    moved = F.udf(lambda cuts: [c + random.uniform(-40, 40) for c in cuts], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: F.array_sort(moved(plain(*a))))
+    shares = {"a": 0.25, "b": 0.5, "c": 0.75, "d": 0.95}
+    ranked = sorted(float(v * v % 997) for v in range(600))
+    want = tuple(ranked[int(600 * p)] for p in shares.values())
+    assert [tuple(r)[1:] for r in stats.nearest_rank(rows, "g", "v", shares).collect()] == [want, want]
