@@ -3,7 +3,7 @@
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as
 Parquet and read again as the next one's docs, and what lies before is removed; the
 last stage's input stays, since its result is read from there when it is used.
-Languages are learnt from the documents table itself.
+Languages are learnt from the documents table itself, from all of its labelled texts.
 
 Defined results, in every stage: an empty table gives an empty one; null and empty
 texts go in the first stage (they have no letter); rows that repeat are documents of
@@ -30,10 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a letter go, and those of 200 bytes and more that no tree codes in
     1.6 times the bits a byte that 99 % of the labelled texts need at most: other
-    languages and noise.
+    languages and noise. Trees and limit come from all labelled texts.
     """
     ship(spark)
-    trees = langid.train(docs)
+    trees = langid.train(docs, sample_docs=None)
     return langid.keep_identified(docs.select(*COLUMNS), trees, most_bits=langid.usual_bits(docs, trees), lang_col="lang")
 
 

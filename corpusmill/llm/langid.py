@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as H
+from corpusmill.operators import stats
+from corpusmill.session import durable
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -151,21 +153,25 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, text and id of all documents with both."""
+    return docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+
+
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, seed: int) -> DataFrame:
     """lang, text of about sample_docs documents for each language."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)).alias("u")
-    )
+    labelled = _labelled(docs, id_col, text_col, lang_col).withColumn("u", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)))
     sizes = labelled.groupBy("lang").count()
     return labelled.join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("count") < sample_docs * 1_000_000)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 7) -> Trees:
-    """Trees from whole texts of a seeded sample of about sample_docs documents for each non-null language.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int | None = SAMPLE_DOCS, seed: int = 7) -> Trees:
+    """Trees from whole texts of a seeded sample of about sample_docs documents for each non-null language, or of all where that is None.
 
-    The sample bounds the model; what reaches the driver is its distinct windows.
+    What reaches the driver is the distinct windows, counted by Spark.
     """
-    table = window_counts(_sample(docs, id_col, text_col, lang_col, sample_docs, seed)).toPandas()
+    known = _labelled(docs, id_col, text_col, lang_col) if sample_docs is None else _sample(docs, id_col, text_col, lang_col, sample_docs, seed)
+    table = window_counts(known).toPandas()
     return Trees({lang: (g["window"].to_numpy().astype(np.uint32), g["c"].to_numpy().astype(np.float64)) for lang, g in table.groupby("lang")})
 
 
@@ -206,15 +212,16 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     )
 
 
-def usual_bits(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> float:
-    """The bits for each byte that a share USUAL of another seeded sample of labelled documents of LEAST_BYTES and more need at most in their best language, times MARGIN; 8 without any.
+def usual_bits(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The bits for each byte that a share USUAL of all labelled documents of LEAST_BYTES and more need at most in their best language (by rank), times MARGIN; 8 without any.
 
     A share, not the most: a few documents of noise that have a label don't switch the limit off.
     """
-    some = _sample(docs, id_col, text_col, lang_col, sample_docs, seed)
-    found = identify(some.filter(F.octet_length("text") >= LEAST_BYTES).select(F.lit(0).alias("doc_id"), "text"), trees)
-    most = found.filter(F.col("lang_pred") != UNDETERMINED).agg(F.percentile("bits", USUAL)).first()[0]
-    return 8.0 if most is None else min(8.0, most * MARGIN)
+    long = _labelled(docs, id_col, text_col, lang_col).filter(F.octet_length("text") >= LEAST_BYTES)
+    found = identify(long.select(F.lit(0).alias("doc_id"), "text"), trees).filter(F.col("lang_pred") != UNDETERMINED)
+    bits = durable(found.select(F.lit(0).alias("all"), "bits"))  # a number for each text, ranked twice
+    most = stats.nearest_rank(bits, "all", "bits", {"usual": USUAL}).first()
+    return 8.0 if most is None else min(8.0, most["usual"] * MARGIN)
 
 
 def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", most_bits: float = 8.0, lang_col: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusmill.llm import jaccard, langid, linededup, mixing, queries
 
 SF = "/root/testdata/sf0.001"
@@ -174,6 +175,22 @@ def test_language_stage_rejects_noise(spark):
     assert kept.filter("doc_id >= 1000000000").count() == 0 and kept.filter("lang is null").count() == 0
 
 
+def test_language_stage_learns_from_all_labelled_texts(spark, monkeypatch):
+    """Before, trees and limit came from about 500 documents of a language."""
+    import random
+
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join("".join(rnd.choice("abcdefgh"[: 2 + i % 7]) for _ in range(rnd.randint(2, 9))) for _ in range(60)), "en") for i in range(1500)], "doc_id long, text string, lang string").repartition(4)
+    trees = langid.train(docs, sample_docs=None)
+    windows = {int.from_bytes(x[i : i + 4], "big") for r in docs.collect() for x in ["\n\n\n".encode() + r.text.encode()] for i in range(len(x) - 3)}
+    assert set(trees.levels[langid.ORDER][0].tolist()) == windows
+    ranked = sorted(r.bits for r in langid.identify(docs, trees).collect())
+    assert langid.usual_bits(docs, trees) == min(8.0, ranked[int(1500 * langid.USUAL)] * langid.MARGIN)
+    monkeypatch.setattr(langid, "_sample", None)
+    rows = docs.withColumns({"source": F.lit("a"), "n_chars": F.length("text")})
+    assert corpus_pipeline.language(spark, rows, SF).count() == 1500
+
+
 def test_registered():
     assert len(queries.queries()) == 14 and queries.oracle_sql().keys() <= queries.queries().keys()
     assert langid.UNDETERMINED == "und"
