@@ -123,6 +123,16 @@ def test_bm25_of_short_and_accented_words(spark, monkeypatch):
         assert got == pytest.approx(want, abs=1e-6) and {i for i, _ in got} == {10, 11, 13}
 
 
+def test_exact_search_multiplies_blocks(spark, capfd):
+    """Blocks meet blocks, as matrices: no fold of components for each pair of rows; of many copies the smallest ids count."""
+    v = spark.createDataFrame([(i, [1.0, 2.0, 3.0] if i < 80 else [float(i % 7), 1.0, float(i % 3)]) for i in range(100)], "vec_id long, embedding array<float>").repartition(4)
+    found = search.nearest(v, v.filter("vec_id % 20 = 0"), 5, block_rows=16, block_queries=2)
+    got = {(r.query_id, r.rank): r.vec_id for r in found.collect()}
+    assert [got[40, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5]
+    found.explain()
+    assert "MapInArrow" in capfd.readouterr().out
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_exact_search_of_every_query(spark, block):
     rnd = random.Random(5)
