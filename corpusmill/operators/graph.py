@@ -13,8 +13,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     seen = starts.select("node").distinct().withColumn("level", F.lit(0))
     front = seen
     for level in range(1, depth + 1):
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
+        # fronts and what is seen grow with the graph, so nothing goes through the driver
+        step = front.join(edges.hint("merge"), front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = durable(step.join(seen.select("node").hint("merge"), "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -25,8 +26,8 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, level, before: as reach, with the smallest node from which a shortest path comes."""
     found = durable(reach(edges, starts, depth))
     last = found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("level"))
-    steps = last.join(edges, "src").select(F.col("dst").alias("node"), "level", "src").groupBy("node", "level").agg(F.min("src").alias("before"))
-    return found.join(steps, ["node", "level"], "left")
+    steps = last.join(edges.hint("merge"), "src").select(F.col("dst").alias("node"), "level", "src").groupBy("node", "level").agg(F.min("src").alias("before"))
+    return found.join(steps.hint("merge"), ["node", "level"], "left")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -44,14 +45,14 @@ def chain_depths(edges: DataFrame) -> DataFrame:
     """
     left = durable(edges.select("src", "dst").filter("src <> dst").distinct())
     node = lambda df, c: df.select(F.col(c).alias("node"))
-    front = durable(node(left, "dst").distinct().join(node(left, "src"), "node", "left_anti").withColumn("depth", F.lit(1)))
+    front = durable(node(left, "dst").distinct().join(node(left, "src").hint("merge"), "node", "left_anti").withColumn("depth", F.lit(1)))
     every, depth = front, 1
     while not front.isEmpty():
         depth += 1
         done = node(front, "node").withColumnRenamed("node", "dst")
-        closed = left.join(done, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        left = durable(left.join(done, "dst", "left_anti").select("src", "dst"))
-        front = durable(closed.join(node(left, "src"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        closed = left.join(done.hint("merge"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        left = durable(left.join(done.hint("merge"), "dst", "left_anti").select("src", "dst"))
+        front = durable(closed.join(node(left, "src").hint("merge"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         every = every.unionByName(front)
     return every.unionByName(node(left, "src").distinct().withColumn("depth", F.lit(None).cast("int")))
 

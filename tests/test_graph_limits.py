@@ -11,3 +11,24 @@ def test_chains_to_their_end_and_cycles_told(spark):
     assert got == {i: n + 1 - i for i in range(n + 1)} | {200: None, 201: None, 202: None}
     ring = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(900, 0), (7, 901), (902, 902), (903, 904), (904, 903)], "src long, dst long").repartition(2)
     assert {r.node: r.length for r in graph.cyclic(ring).collect()} == {i: n for i in range(n)} | {902: 1, 903: 2, 904: 2}
+
+
+def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
+    """Fronts and edges that are left grow with the graph: no level broadcasts them."""
+    from corpusmill.operators import graph
+
+    told, kept = [], graph.durable
+
+    def seen(df):
+        df.collect()
+        told.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(graph, "durable", seen)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 40)], "src long, dst long")
+    back = edges.selectExpr("dst as src", "src as dst")
+    starts = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.level for r in graph.reach(back, starts, 20).collect()} == {i: i.bit_length() for i in range(40)}
+    assert {r.node: r.depth for r in graph.chain_depths(edges).collect()} == {i: i.bit_length() + 1 for i in range(40)}
+    assert graph.paths(back, starts, 3).count() == 8
+    assert len(told) > 10 and not any("BroadcastHashJoin" in x for x in told)
