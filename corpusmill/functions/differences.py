@@ -2,24 +2,29 @@
 
 Similarities and edits are those of the standard library's SequenceMatcher (longest
 matching block, then what lies on either side of it), which holds elements that are
-more than a hundredth of a long sequence for no anchors. Each pair of texts is a row of
-its own; null texts give null.
+more than a hundredth of a long sequence for no anchors; matching.py finds its blocks
+without going through pairs of characters. Each pair of texts is a row of its own; null
+texts give null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.matching import matching_blocks, opcodes
+from corpusmill.functions.matching import ratio as share
+
 EDIT = "array<struct<op:string,old:string,new:string>>"
+CHANGES = f"struct<ratio:double,edits:{EDIT}>"
 HUNKS = "array<struct<op:string,old_start:int,old:array<string>,new_start:int,new:array<string>>>"
 APPLIED = "struct<text:string,conflicts:array<string>>"
 _LINES = pa.list_(pa.string())
 _EDIT = pa.list_(pa.struct([("op", pa.string()), ("old", pa.string()), ("new", pa.string())]))
+_CHANGES = pa.struct([("ratio", pa.float64()), ("edits", _EDIT)])
 _HUNKS = pa.list_(pa.struct([("op", pa.string()), ("old_start", pa.int32()), ("old", _LINES), ("new_start", pa.int32()), ("new", _LINES)]))
 _APPLIED = pa.struct([("text", pa.string()), ("conflicts", _LINES)])
 
@@ -38,24 +43,30 @@ def similarity(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("double")
     def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
-        return _rows(lambda s, t: 1.0 if s == t else SequenceMatcher(None, s, t).ratio(), pa.float64(), x, y)
+        return _rows(lambda s, t: share(matching_blocks(s, t)), pa.float64(), x, y)
 
     return ratio(a, b)
 
 
-def edits(a: Column, b: Column) -> Column:
-    """What turns a into b: (op, old, new) for every replaced, deleted or inserted piece, in order."""
+def changes(a: Column, b: Column) -> Column:
+    """(ratio, edits): similarity, and what turns a into b, an (op, old, new) for every replaced, deleted or inserted piece, in order."""
 
-    def each(s: str, t: str) -> list[dict]:
-        return [{"op": op, "old": s[i:j], "new": t[k:l]} for op, i, j, k, l in SequenceMatcher(None, s, t).get_opcodes() if op != "equal"]
+    def each(s: str, t: str) -> dict:
+        blocks = matching_blocks(s, t)
+        return {"ratio": share(blocks), "edits": [{"op": op, "old": s[i:j], "new": t[k:l]} for op, i, j, k, l in opcodes(blocks)]}
 
-    @F.arrow_udf(EDIT)
+    @F.arrow_udf(CHANGES)
     def of(x: pa.Array, y: pa.Array) -> pa.Array:
-        return _rows(each, _EDIT, x, y)
+        return _rows(each, _CHANGES, x, y)
 
     return of(a, b)
 
 
+def edits(a: Column, b: Column) -> Column:
+    """What turns a into b, as in changes."""
+    return changes(a, b)["edits"]
+
+
 _OP = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}
 
 
@@ -64,7 +75,7 @@ def hunks(a: Column, b: Column) -> Column:
 
     def each(s: str, t: str) -> list[dict]:
         old, new = s.split("\n"), t.split("\n")
-        return [{"op": _OP[op], "old_start": i, "old": old[i:j], "new_start": k, "new": new[k:l]} for op, i, j, k, l in SequenceMatcher(None, old, new).get_opcodes() if op != "equal"]
+        return [{"op": _OP[op], "old_start": i, "old": old[i:j], "new_start": k, "new": new[k:l]} for op, i, j, k, l in opcodes(matching_blocks(old, new))]
 
     @F.arrow_udf(HUNKS)
     def of(x: pa.Array, y: pa.Array) -> pa.Array:

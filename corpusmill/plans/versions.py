@@ -34,7 +34,8 @@ def text_changes(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("edits")
     n = lambda op: F.size(F.filter(e, lambda x: x["op"] == op)).alias(f"n_{op}")
     said = F.md5(F.array_join(F.transform(e, lambda x: F.concat_ws("|", x["op"], x["old"], x["new"])), "\n"))
-    rows = _both(spark, d).select("doc_id", differences.similarity(F.col("old"), F.col("new")).alias("ratio"), differences.edits(F.col("old"), F.col("new")).alias("edits"))
+    # both from one comparison, which is not to be run once for each
+    rows = _both(spark, d).select("doc_id", differences.changes(F.col("old"), F.col("new")).alias("c")).select("doc_id", "c.ratio", "c.edits")
     return rows.select("doc_id", F.round("ratio", 9).alias("ratio"), n("replace"), n("delete"), n("insert"), said.alias("edits_md5"))
 
 
