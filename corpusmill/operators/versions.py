@@ -4,13 +4,15 @@ The rest of a document's articles meet by runs of three words: an old and a new
 are candidates when they share one of the KEYS least-hashed runs of each (the whole text,
 where it has fewer words). Equal contents are matched before, in the order of their
 numbers, so many copies of one article are no block of pairs. Candidates are then
-taken greedily in rounds: a pair that is the best of both its articles is a match, and
-both leave. Pairs have a total order (likeness, then numbers), so the rounds give the
-same as taking pairs one after another.
+taken greedily: a document's pairs come to one task in their order (likeness, then
+numbers), which keeps only the numbers of the document's matched articles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,28 +36,36 @@ def number_kind(number: Column) -> Column:
 
 def run_keys(content: Column, most: int = KEYS) -> Column:
     """The least hashes of runs of three words."""
-    words = F.regexp_extract_all(F.lower(content), F.lit(r"[^\t-\r ]+"), F.lit(0))
-    runs = F.when(F.size(words) < 3, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(3)), " ")))
-    )
-    return F.slice(F.sort_array(F.array_distinct(runs)), 1, most)
 
+    def runs(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(3)), " ")))
+        return F.when(F.size(words) < 3, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(each)
 
-def _best(pairs: DataFrame, key: str, side: str) -> DataFrame:
-    order = [F.desc("likeness"), F.desc("ratio"), "old_", "new_"]
-    return pairs.withColumn(f"{side}best_", F.row_number().over(W.partitionBy(key, side).orderBy(*order)) == 1)
+    # words are a variable of the outer function: written out in the inner one, a text would be split again for each of its runs
+    words = F.regexp_extract_all(F.lower(content), F.lit(r"[^\t-\r ]+"), F.lit(0))
+    return F.slice(F.sort_array(F.array_distinct(F.get(F.transform(F.array(words), runs), 0))), 1, most)
 
 
 def greedy(pairs: DataFrame, key: str) -> DataFrame:
     """The pairs (key, old_, new_, likeness, ratio) that greedy one-to-one matching takes."""
-    left = durable(pairs)
-    taken = left.limit(0)
-    while not left.isEmpty():
-        found = durable(_best(_best(left, key, "old_"), key, "new_").filter("old_best_ and new_best_").drop("old_best_", "new_best_"))
-        taken = taken.unionByName(found)
-        gone = lambda side: found.select(key, side)  # noqa: B023, E731
-        left = durable(left.join(gone("old_"), [key, "old_"], "left_anti").join(gone("new_"), [key, "new_"], "left_anti").select(*left.columns))
-    return taken
+    at = [pairs.columns.index(c) for c in (key, "old_", "new_")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, olds, news = None, set(), set()
+        for b in batches:
+            keep = []
+            for k, old, new in zip(*(b.column(i).to_pylist() for i in at)):
+                if k != now:
+                    now, olds, news = k, set(), set()
+                free = old not in olds and new not in news
+                if free:
+                    olds.add(old)
+                    news.add(new)
+                keep.append(free)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    in_turn = pairs.repartition(key).sortWithinPartitions(key, F.desc("likeness"), F.desc("ratio"), "old_", "new_")
+    return in_turn.mapInArrow(run, pairs.schema)
 
 
 def match_articles(old: DataFrame, new: DataFrame, key: str, number: str = "number", title: str = "title", content: str = "content", least: float = LEAST) -> DataFrame:

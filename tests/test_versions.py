@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -126,3 +127,24 @@ def test_articles_of_documents(spark):
     # by number and content alike; by likeness all but pairs that share no run of three words
     assert same >= 0.97 * sum(map(len, want.values())) and renumbered > 30
     assert all({m for m in want[d] if m[2] != "likeness"} == {m for m in got.get(d, set()) if m[2] != "likeness"} for d in some)
+
+
+def test_equal_articles_take_no_rounds(spark):
+    """Pairs that are all alike: one is taken after another, in a few jobs however many there are."""
+    near = [(d, f"{x:02}", f"n{y:02}", 0.9, 0.8) for d in (1, 2) for x in range(40) for y in range(30)] + [(3, "a", "b", 0.7, 0.6), (3, "a", "c", 0.7, 0.65), (3, "d", "c", 0.9, 0.8)]
+    pairs = spark.createDataFrame(near, "doc int, old_ string, new_ string, likeness double, ratio double").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("equal-articles", "greedy")
+    got = {tuple(r)[:3] for r in versions.greedy(pairs, "doc").collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("equal-articles"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(d, f"{x:02}", f"n{x:02}") for d in (1, 2) for x in range(30)} | {(3, "a", "b"), (3, "d", "c")}
+    assert 0 < jobs < 10
+
+
+def test_keys_split_a_text_once(spark):
+    """A line of 20,000 words, whose words were found again for each of its runs."""
+    x = " ".join(f"w{i}" for i in range(20_000))
+    began = time.monotonic()
+    keys = spark.range(1).select(versions.run_keys(F.lit(x).cast("string")).alias("k")).first().k
+    assert len(keys) == versions.KEYS and keys == sorted(keys) and time.monotonic() - began < 20
