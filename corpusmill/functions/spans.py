@@ -146,10 +146,11 @@ def confidence(match: Column, context: Column, specific: Column) -> Column:
 
 def marked_parts(x: Column, pattern: str) -> Column:
     """Parts of a text that begin at a mark (a match of pattern), the mark included, trimmed; what lies before the first comes first, unless it is blank."""
-    marks, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern, -1)
     strip = lambda t: F.regexp_replace(t, r"^[\t-\r ]+|[\t-\r ]+$", "")
-    first = F.filter(F.array(F.struct(F.lit("preamble").alias("kind"), strip(F.get(gaps, 0)).alias("part"))), lambda p: p["part"] != "")
-    return F.concat(first, F.transform(marks, lambda m, i: F.struct(F.lit("part").alias("kind"), strip(F.concat(m, F.get(gaps, i + 1))).alias("part"))))
+    # the part before the first mark has none; gaps are an argument here: written out in the function, a text would be split again for each of its marks
+    marks = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
+    parts = F.zip_with(marks, F.split(x, pattern, -1), lambda m, gap: F.struct(F.when(m.isNull(), "preamble").otherwise("part").alias("kind"), strip(F.concat(F.coalesce(m, F.lit("")), gap)).alias("part")))
+    return F.filter(parts, lambda p: (p["kind"] == "part") | (p["part"] != ""))
 
 
 def packed(sentences: Column, most: int) -> Column:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,14 @@ def test_ranks_do_not_depend_on_the_order_of_merged_parts(spark, monkeypatch):
     ranked = sorted(float(v * v % 997) for v in range(600))
     want = tuple(ranked[int(600 * p)] for p in shares.values())
     assert [tuple(r)[1:] for r in stats.nearest_rank(rows, "g", "v", shares).collect()] == [want, want]
+
+
+def test_parts_split_a_text_once(spark):
+    """20,000 marks in a text, which was split again for each; and texts with odd places of marks."""
+    given = [(1, " a \nMadde 1 b\tMadde 2"), (2, "Madde 7"), (3, ""), (4, " \n"), (5, None), (6, "Madde 3Madde 4 "), (7, "".join(f"Madde {i} text\n" for i in range(20_000)))]
+    df = spark.createDataFrame(given, "i int, x string").repartition(2)
+    began = time.monotonic()
+    got = {r.i: r.p if r.p is None else [tuple(p) for p in r.p] for r in df.select("i", spans.marked_parts(F.col("x"), "Madde +[0-9]+").alias("p")).collect()}
+    assert time.monotonic() - began < 20
+    assert got.pop(7) == [("part", f"Madde {i} text") for i in range(20_000)]
+    assert got == {1: [("preamble", "a"), ("part", "Madde 1 b"), ("part", "Madde 2")], 2: [("part", "Madde 7")], 3: [], 4: [], 5: None, 6: [("part", "Madde 3"), ("part", "Madde 4")]}
