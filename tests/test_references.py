@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusmill import catalogue
+from corpusmill.functions import spans
 from corpusmill.operators import references as R
 from corpusmill.plans import texts
 
@@ -48,3 +49,15 @@ def test_references_by_hand(spark):
         (1, "5237 sayılı Türk Ceza Kanunu"): ("law", "LAW", 5237, 1), (1, "Madde 141"): ("article", "ARTICLE", 141, 1), (1, "söz konusu kanun"): ("backward", "LAW", 5237, 1), (1, "yukarıda belirtilen madde"): ("backward", "ARTICLE", 141, 1),
         (1, "aşağıdaki madde"): ("forward", "ARTICLE", 7, 1), (1, "Madde 7"): ("article", "ARTICLE", 7, 1), (1, "bu madde"): ("internal", "ARTICLE", 7, 2), (1, "bu fıkra"): ("internal", "PARAGRAPH", None, 0), (4, "anılan madde"): ("backward", "ARTICLE", None, 0),
     }
+
+
+def test_a_text_is_gone_through_once(spark):
+    df = spark.createDataFrame([(1, "Madde 5. Madde 99999999999999999999 ve anılan madde.")], "doc_id long, text string")
+    made = R.references(df)
+    got = {(r.found, r.target, r.candidates) for r in made.collect()}
+    assert got == {("Madde 5", 5, 1), ("Madde 99999999999999999999", None, 1), ("anılan madde", None, 2)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    texts_ = ["madde madde 1 bu işbu madde", "işbu karar bu karar", "son aşağıda aşağıdaki madde", "12345 sayılı 1234 sayılı", ""]
+    for p in R.PATTERNS:
+        assert all([m.span() for m in spans.matches(t, p)] == [m.span() for m in re.finditer(p.pattern, t)] for t in texts_)
