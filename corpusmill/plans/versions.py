@@ -83,6 +83,10 @@ def article_matches(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("likeness", F.round("likeness", 9))
 
 
+#: Versions of a partition, about: memory of a task stays the same as records grow in number.
+PART = 25_000
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """A customer's record at each order: what the order says, its price class only above a threshold."""
     o = table(spark, d, "orders").filter("o_custkey is not null and o_orderkey is not null")
@@ -99,6 +103,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def restored_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every customer's record, restored from full snapshots and deltas."""
     records = _records(spark, d)
-    back = snapshots.restore(snapshots.deltas(records, "o_custkey", "o_orderkey", 5), records, "o_custkey", "o_orderkey")
+    orders = table(spark, d, "orders").filter("o_custkey is not null and o_orderkey is not null").select("o_custkey", "o_orderkey")
+    parts = 1 + orders.count() // PART
+    back = snapshots.restore(snapshots.deltas(records, "o_custkey", "o_orderkey", 5, parts), orders, "o_custkey", "o_orderkey", parts).repartition(parts, "o_orderkey", "o_custkey")
     lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "path", "value"))), "\n")
     return back.groupBy("o_orderkey", "o_custkey").agg(F.md5(lines).alias("state_md5"))
