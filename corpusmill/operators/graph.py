@@ -8,8 +8,29 @@ from pyspark.sql import functions as F
 from corpusmill.session import durable
 
 
+#: Edges of a partition, about, where they are laid out for levels to meet.
+PART = 200_000
+
+
+def laid(edges: DataFrame) -> DataFrame:
+    """Distinct edges, dealt and sorted by src and kept so: a level brings its front to them, they are not made, shuffled or sorted again."""
+    pairs, conf = edges.select("src", "dst"), edges.sparkSession.conf
+    sorted_ = pairs.repartition(1 + pairs.count() // PART, "src").distinct().sortWithinPartitions("src")
+    # an adaptive plan does not say how its rows lie, and they would be shuffled again at each level
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return durable(sorted_)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, level: how many edges lead from the nearest start (node) to every node within depth. Each level visits only new nodes."""
+    return _reach(laid(edges), starts, depth)
+
+
+def _reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     seen = starts.select("node").distinct().withColumn("level", F.lit(0))
     front = seen
     for level in range(1, depth + 1):
@@ -24,7 +45,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, level, before: as reach, with the smallest node from which a shortest path comes."""
-    found = durable(reach(edges, starts, depth))
+    edges = laid(edges)
+    found = durable(_reach(edges, starts, depth))
     last = found.select(F.col("node").alias("src"), (F.col("level") + 1).alias("level"))
     steps = last.join(edges.hint("merge"), "src").select(F.col("dst").alias("node"), "level", "src").groupBy("node", "level").agg(F.min("src").alias("before"))
     return found.join(steps.hint("merge"), ["node", "level"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph
-from corpusmill.plans.corpus import _EDGES, _edges
+from corpusmill.plans.corpus import _EDGES, _edges, _links
 from corpusmill.plans.registry import query
 from corpusmill.session import table
 
@@ -17,9 +17,8 @@ from corpusmill.session import table
 )
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """From one node to all within three edges, either way: how far, and by which neighbour."""
-    e = _edges(spark, d)
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return graph.paths(both, spark.range(1).select(F.lit("s1").alias("node")), 3)
+    e = _links(spark, d)
+    return graph.paths(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), spark.range(1).select(F.lit("s1").alias("node")), 3)
 
 
 _DAG = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0"

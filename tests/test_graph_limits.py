@@ -32,3 +32,21 @@ def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
     assert {r.node: r.depth for r in graph.chain_depths(edges).collect()} == {i: i.bit_length() + 1 for i in range(40)}
     assert graph.paths(back, starts, 3).count() == 8
     assert len(told) > 10 and not any("BroadcastHashJoin" in x for x in told)
+
+
+def test_edges_are_shuffled_once_for_all_levels(spark, monkeypatch):
+    from corpusmill.operators import graph
+
+    told, kept = [], graph.durable
+
+    def seen(df):
+        df.collect()
+        told.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return kept(df)
+
+    monkeypatch.setattr(graph, "durable", seen)
+    monkeypatch.setattr(graph, "PART", 20)
+    back = spark.createDataFrame([(i // 2, i) for i in range(1, 64)] * 2, "src long, dst long")
+    paths = graph.paths(back, spark.createDataFrame([(1,)], "node long"), 4)
+    assert {(r.node, r.level, r.before) for r in paths.collect()} == {(i, i.bit_length() - 1, i // 2 if i > 1 else None) for i in range(1, 32)}
+    assert sum("hashpartitioning(src" in x for x in told) == 1 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
