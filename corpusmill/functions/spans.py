@@ -198,12 +198,13 @@ def packed(sentences: Column, most: int) -> Column:
 
 def completeness(x: Column) -> Column:
     """1 for a text that ends a sentence, .5 for one that ends at a comma or colon, else .3; 0 for a blank one."""
-    last = F.right(F.regexp_replace(x, r"[\t-\r ]+$", ""), F.lit(1))
+    last = F.right(F.rtrim(x, F.lit("\t\n\v\f\r ")), F.lit(1))
     return F.when(last == "", 0.0).when(last.isin(".", "!", "?"), 1.0).when(last.isin(",", ";", ":"), 0.5).otherwise(0.3)
 
 
 def coherence(x: Column, connectives: tuple[str, ...]) -> Column:
     """.9 for a share of 0.05 to 0.15 of connectives met over words, .6 below, .7 above."""
-    met = F.size(F.filter(F.array(*[F.lit(c) for c in connectives]), lambda c: F.contains(F.lower(x), c)))
+    # a sum and no lambda, in which the text would be put in lower case again for each of them
+    met = sum((F.when(F.contains(F.lower(x), F.lit(c)), 1).otherwise(0) for c in connectives), F.lit(0))
     share = met / F.greatest(F.regexp_count(x, F.lit(r"[^\t-\r ]+")), F.lit(1))
     return F.when(share.between(0.05, 0.15), 0.9).when(share < 0.05, 0.6).otherwise(0.7)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SIZE, STRIDE, LEAST, REACH = 512, 256, 50, 200
 SENTENCE_END = r"[.!?]\s+"
 ARTICLE, AMENDMENT, CITATION = r"(?:MADDE|Madde)\s+\d+", r"değiştirilmiştir|yürürlükten kaldırılmıştır|eklenmiştir", r"\d+\s+sayılı"
+#: A text with a match has one of these.
+MARKS, CITED = ("MADDE", "Madde", *AMENDMENT.split("|")), "sayılı"
 
 
 def bounds(text: str, size: int = SIZE, stride: int = STRIDE) -> list[tuple[int, int]]:
@@ -30,6 +32,8 @@ def bounds(text: str, size: int = SIZE, stride: int = STRIDE) -> list[tuple[int,
     starts, ends = [c[0] for c in closes], [c[1] for c in closes]
     close, half, some = re.compile(f"{ARTICLE}|{AMENDMENT}"), max(stride // 2, LEAST), max(int(stride * 0.75), LEAST)
     cited, out, at = re.compile(CITATION), [], 0
+    # most texts have none of the words, and windows overlap: only texts with one are searched window by window
+    closing, citing = any(w in text for w in MARKS), CITED in text
     while at < len(text):
         end = at + size
         if end < len(text):
@@ -41,12 +45,11 @@ def bounds(text: str, size: int = SIZE, stride: int = STRIDE) -> list[tuple[int,
                 j = bisect_right(ends, end) - 1
                 end = ends[j] if j >= 0 and starts[j] >= end - REACH else end
         end = min(end, len(text))
-        window = text[at:end]
-        if not window.strip():
+        if not text[at:end].strip():
             at = max(end, at + 1)
             continue
         out.append((at, end))
-        at += half if close.search(window) else some if cited.search(window) else stride
+        at += half if closing and close.search(text, at, end) else some if citing and cited.search(text, at, end) else stride
     return out
 
 

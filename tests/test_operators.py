@@ -87,6 +87,18 @@ def test_sliding_windows(spark):
     assert got == {i: w for i, t in enumerate(given) if (w := plain_windows(t or "", windows.SIZE, windows.STRIDE))}
 
 
+def test_windows_of_marked_texts_and_one_lower_case_text(spark):
+    rnd = random.Random(4)
+    bits = ["Madde 12 ", "MADDE 7. ", "Madde x ", "123 sayılı ", "sayılı ", "eklenmiştir. ", "abc ", "def ghi. ", "lorem ipsum dolor "]
+    for n in range(60):
+        t = "".join(rnd.choice(bits[(n % 3) * 3 :]) for _ in range(200))
+        assert windows.bounds(t) == plain_windows(t, windows.SIZE, windows.STRIDE)
+    df = frame(spark, ["The house of und.\n\t ", "word, \v\f", "", " ", "x", "the " * 3 + "word " * 30, None])
+    made = df.select("i", spans.completeness(F.col("x")), spans.coherence(F.col("x"), ("the", "und", "of")))
+    assert [tuple(r)[1:] for r in made.orderBy("i").collect()] == [(1.0, 0.7), (0.5, 0.6), (0.0, 0.6), (0.0, 0.6), (0.3, 0.6), (0.3, 0.6), (0.3, 0.6)]
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alerts_are_silenced_by_the_last_one_sent(spark):
     rnd = random.Random(1)
     rows = [(i, f"k{rnd.randrange(3)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randrange(20_000))) for i in range(300)] + [(900 + i, "steady", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=4 * i)) for i in range(20)]
