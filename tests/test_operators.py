@@ -168,6 +168,14 @@ def test_classifier_on_its_labels(spark):
     assert right >= 0.8 * len(labels) and all(0 <= r.uncertainty <= 1.0001 and r.needs_review == (max(r.probability, 1 - r.probability) < 0.7) for r in got.values() if abs(max(r.probability, 1 - r.probability) - 0.7) > 1e-5)
 
 
+def test_classifier_counts_terms_of_labelled_texts_once(spark, monkeypatch):
+    from corpusmill.plans import corpus
+
+    kept, told = corpus.durable, []
+    monkeypatch.setattr(corpus, "durable", lambda df: told.append(df.columns) or kept(df))
+    assert catalogue.queries()["document_classifier"](spark, "/root/testdata/sf0.001").count() > 0 and told == [["label", "tf"]]
+
+
 def test_spans_of_a_long_text_take_linear_time(spark):
     import time
 
