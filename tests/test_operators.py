@@ -211,3 +211,13 @@ def test_parts_split_a_text_once(spark):
     assert time.monotonic() - began < 20
     assert got.pop(7) == [("part", f"Madde {i} text") for i in range(20_000)]
     assert got == {1: [("preamble", "a"), ("part", "Madde 1 b"), ("part", "Madde 2")], 2: [("part", "Madde 7")], 3: [], 4: [], 5: None, 6: [("part", "Madde 3"), ("part", "Madde 4")]}
+
+
+def test_bm25_adds_no_filter_that_splits_texts_again(spark):
+    from corpusmill.operators import search
+
+    docs = spark.createDataFrame([(1, "abc def"), (2, ""), (3, "!"), (4, "abc abc")], "doc_id long, text string")
+    made = search.bm25(docs, spark.createDataFrame([(7, "abc")], "item_id long, text string"))
+    assert sorted(r.doc_id for r in made.collect()) == [1, 4]
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Filter" in x and "regexp_extract_all" in x and "array_distinct" not in x for x in plan)
