@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import catalogue
 from corpusmill.functions import differences as D
+from corpusmill.functions.matching import Held, common, matching_blocks, places, shared
 from corpusmill.operators import versions
 from corpusmill.plans import versions as plans
 
@@ -148,3 +149,47 @@ def test_keys_split_a_text_once(spark):
     began = time.monotonic()
     keys = df.select(versions.run_keys(F.col("x")).alias("k")).first().k
     assert len(keys) == versions.KEYS and keys == sorted(keys) and time.monotonic() - began < 20
+
+
+def test_all_alike_articles_are_found(spark, monkeypatch):
+    """Pairs that share no run of three words, or none of the least-hashed ones; the loop over all pairs is the measure. Small parts, so documents have several tiles."""
+    rnd = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "ktm" for b in "aeo" for c in "nrs"]
+    old, new = {1: {"1": "alpha beta gamma delta", "2": "İİİİ", "3": "abcde", "4": "kmpq", "5": "x"}, 2: {}}, {1: {"n1": "alpha bets gamma delta", "n2": "İİİİ".lower() + "z" * 10, "n3": "abc", "n4": "kmrs", "n5": "xyzz"}, 2: {}}
+    for n in range(40):
+        text = [rnd.choice(words) for _ in range(rnd.randint(1, 90))]
+        old[2][f"{'Ek Madde ' if n % 7 == 0 else ''}{n:02}"] = " ".join(text)
+        # a letter more in every other word: no run of three words is left
+        new[2][f"{'Ek Madde ' if n % 5 == 0 else ''}n{n:02}"] = " ".join(w + "l" * (i % 2) for i, w in enumerate(text) if rnd.random() < 0.9)
+    frame = lambda v: spark.createDataFrame([(d, n, None, c) for d in v for n, c in v[d].items()], "doc_id int, number string, title string, content string").repartition(3)
+    want = sorted((d, *m) for d in old for m in plain_matches(old[d], new[d], versions.LEAST))
+    for part in (versions.TILE, 9):
+        monkeypatch.setattr(versions, "TILE", part)
+        got = sorted((r.doc_id, r.old_number, r.new_number, r.how, round(r.likeness, 9)) for r in versions.match_articles(frame(old), frame(new), "doc_id").collect())
+        assert got == want and len([g for g in got if g[3] == "likeness"]) > 20
+        assert {(1, "1", "n1", "likeness", 1.0), (1, "2", "n2", "likeness", 0.715384615), (1, "4", "n4", "likeness", 0.6)} <= set(got)
+
+
+def test_articles_of_documents_are_all_matched(spark):
+    frames = plans.articles(spark, SF)
+    old, new = ({}, {})
+    for df, into in zip(frames, (old, new)):
+        for r in df.collect():
+            into.setdefault(r.doc_id, {})[r.number] = r.content
+    got = {}
+    for r in catalogue.queries()["article_matches"](spark, SF).collect():
+        got.setdefault(r.doc_id, set()).add(tuple(r)[1:])
+    assert got == {d: w for d in old if (w := set(plain_matches(old[d], new.get(d, {}), versions.LEAST)))}
+
+
+def test_subsequences_bound_blocks():
+    for a, b in pairs():
+        n = sum(size for _, _, size in matching_blocks(a, b))
+        longest = [0] * (len(b) + 1)
+        for c in a:
+            row = [0]
+            for j, e in enumerate(b):
+                row.append(longest[j] + 1 if c == e else max(longest[j + 1], row[j]))
+            longest = row
+        assert n <= common(places(a), len(a), b) == longest[-1]
+        assert shared(a, Held(b), n) == n and shared(a, Held(b), n + 1) == (n if a == b else None)
